@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.decontamination import decontaminate
+from codeloom.llm.jaccard_join import jaccard_components
+from codeloom.llm.language_id import fit_language_model, identify_language
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.sharding import rendezvous_shard, shard_records
 from codeloom.llm.token_counts import count_tokens
@@ -23,6 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Whether crc32 of the key as text leaves no remainder by 5; null keys are never learned from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs.where(~held_out()))
+    found = identify_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=CAPACITY)
 
@@ -48,6 +63,45 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_token_files, op5_token_counts, op6_rendezvous_sharding)}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), size=10)
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
 
-ORACLE_SQL: dict[str, str] = {}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", size=5, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_best_fit_packing, op4_token_files, op5_token_counts, op6_rendezvous_sharding,
+    op8_benchmark_decontamination, op9_jaccard_join,
+)}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_benchmark_decontamination": f"""
+        WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT item_id, least(10, len(w)) AS n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS win
+            FROM item, unnest(range(greatest(len(w) - 9, 1))) AS u(i) WHERE len(w) > 0),
+        doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        sizes AS (SELECT DISTINCT n FROM win),
+        places AS (
+            SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS win
+            FROM doc, sizes, unnest(range(len(w) - n + 1)) AS u(i) WHERE len(w) >= n),
+        hit AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN win USING (win)),
+        words AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(n)) AS u(k) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS joined
+            FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
