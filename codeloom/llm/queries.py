@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.decontamination import decontaminate
+from codeloom.llm.embedding_join import near_duplicate_vectors
 from codeloom.llm.jaccard_join import jaccard_components
 from codeloom.llm.language_id import fit_language_model, identify_language
 from codeloom.llm.packing import pack_documents
@@ -42,6 +43,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=CAPACITY)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", cosine=0.95)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return token_digest(read_token_files(spark, path))
@@ -78,7 +83,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_best_fit_packing, op4_token_files, op5_token_counts, op6_rendezvous_sharding,
+    op1_language_id, op2_best_fit_packing, op3_embedding_near_dedup, op4_token_files, op5_token_counts, op6_rendezvous_sharding,
     op8_benchmark_decontamination, op9_jaccard_join,
 )}
 
