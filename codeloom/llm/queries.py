@@ -9,6 +9,7 @@ from codeloom.llm.decontamination import decontaminate
 from codeloom.llm.embedding_join import near_duplicate_vectors
 from codeloom.llm.jaccard_join import jaccard_components
 from codeloom.llm.language_id import fit_language_model, identify_language
+from codeloom.llm.line_dedup import dedup_lines
 from codeloom.llm.packing import pack_documents
 from codeloom.llm.sharding import rendezvous_shard, shard_records
 from codeloom.llm.token_counts import count_tokens
@@ -82,9 +83,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", size=5, percent=80)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_embedding_near_dedup, op4_token_files, op5_token_counts, op6_rendezvous_sharding,
-    op8_benchmark_decontamination, op9_jaccard_join,
+    op8_benchmark_decontamination, op9_jaccard_join, op10_line_dedup,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
