@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.decontamination import decontaminate
 from codeloom.llm.embedding_join import near_duplicate_vectors
+from codeloom.llm.html_extraction import extract_main_text
 from codeloom.llm.jaccard_join import jaccard_components
 from codeloom.llm.language_id import fit_language_model, identify_language
 from codeloom.llm.line_dedup import dedup_lines
@@ -69,6 +70,11 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), size=10)
@@ -90,7 +96,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_embedding_near_dedup, op4_token_files, op5_token_counts, op6_rendezvous_sharding,
-    op8_benchmark_decontamination, op9_jaccard_join, op10_line_dedup,
+    op7_html_extraction, op8_benchmark_decontamination, op9_jaccard_join, op10_line_dedup,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
