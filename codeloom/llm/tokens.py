@@ -9,12 +9,12 @@ time and never changes ids.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 
-MAX_CACHED = 800_000
+MAX_CHUNKS, MAX_PARTS = 300_000, 700_000
 _TAIL = ".,;:!?%$#&*"
 
 
@@ -48,62 +48,70 @@ class _Lists:
         return self.ids[flat], ends
 
 
+class _Numbers(dict):
+    """Gives each new key the next number, and keeps the new keys in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__({"": 0})
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+    def of(self, keys: Iterable[str], count: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, count)
+
+
 class ChunkTokenizer:
-    """``encode_batch(texts)``: the ids of all texts in one array, and where each text ends."""
+    """``encode_batch(texts)``: the ids of all texts in one array, and where each text ends.
+
+    Chunks are cached as they stand, and, behind them, their letters without case and the
+    signs that follow these, as those are what the tokenizer works on.
+    """
 
-    def __init__(self, path: str, max_cached: int = MAX_CACHED):
+    def __init__(self, path: str, max_chunks: int = MAX_CHUNKS, max_parts: int = MAX_PARTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.max_cached = max_cached
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {"": 0}  # chunk: its place in starts and lens
-        self.part_at: dict[str, int] = {"": 0}  # the same for letters without case, and for what follows them
-        self.chunks, self.parts = _Lists(), _Lists()
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        self.max_chunks, self.max_parts = max_chunks, max_parts
+        self.chunk_no, self.chunks = _Numbers(), _Lists()
+        self.part_no, self.parts = _Numbers(), _Lists()
+
+    def _learn_parts(self) -> None:
+        new, self.part_no.new = self.part_no.new, []
+        for k in range(0, len(new), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)]
             lens = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))
-            first = self.parts.append(flat, lens)
-            self.part_at.update(zip(some, range(first, first + len(some)), strict=True))
+            self.parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum())), lens)
 
-    def _learn(self, chunks: list[str]) -> None:
-        cores, tails = [], []
-        for c in chunks:
+    def _learn_chunks(self) -> None:
+        new, self.chunk_no.new = self.chunk_no.new, []
+        parts: list[str] = []
+        for c in new:
             core = c.rstrip(_TAIL)
             # A letter run ends before these signs in any case, and letters below U+0100 have plain lower cases.
             if core and (core.isascii() or max(core) < "\u0100") and core[-1].isalpha():
-                cores.append(core.lower())
-                tails.append(c[len(core) :])
+                parts += (core.lower(), c[len(core) :])
             else:
-                cores.append(c)
-                tails.append("")
-        new = set(cores).union(tails).difference(self.part_at)
-        if new:
-            self._learn_parts(sorted(new))
-        pairs = np.empty((len(chunks), 2), np.int64)
-        pairs[:, 0] = np.fromiter(map(self.part_at.__getitem__, cores), np.int64, len(cores))
-        pairs[:, 1] = np.fromiter(map(self.part_at.__getitem__, tails), np.int64, len(tails))
-        flat, ends = self.parts.take(pairs.ravel())
-        lens = np.diff(ends, prepend=0).reshape(-1, 2).sum(axis=1)
-        first = self.chunks.append(flat, lens)
-        self.at.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+                parts += (c, "")
+        pairs = self.part_no.of(parts, len(parts))
+        self._learn_parts()
+        flat, ends = self.parts.take(pairs)
+        self.chunks.append(flat, np.diff(ends, prepend=0).reshape(-1, 2).sum(axis=1))
 
     def encode_batch(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """With ``end``, that id follows each text."""
-        if len(self.at) > self.max_cached or len(self.part_at) > self.max_cached:
-            self._clear()
+        if len(self.part_no) > self.max_parts:
+            self.part_no, self.parts = _Numbers(), _Lists()
+        if len(self.chunk_no) > self.max_chunks:
+            self.chunk_no, self.chunks = _Numbers(), _Lists()
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.at)
-        if new:
-            self._learn(list(new))
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        which = self.chunk_no.of(chain.from_iterable(split), int(sizes.sum()))
+        if self.chunk_no.new:
+            self._learn_chunks()
         ids, ends = self.chunks.take(which)
         stops = np.concatenate([[0], ends])[np.cumsum(sizes)]
         if end is not None:
@@ -112,15 +120,14 @@ class ChunkTokenizer:
         return ids, stops
 
 
-_OPEN: dict[tuple[str, int], ChunkTokenizer] = {}
+_OPEN: dict[str, ChunkTokenizer] = {}
 
 
-def chunk_tokenizer(path: str, max_cached: int = MAX_CACHED) -> ChunkTokenizer:
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
     """One for each Python worker, so that its cache outlives a task."""
-    key = (path, max_cached)
-    if key not in _OPEN:
-        _OPEN[key] = ChunkTokenizer(path, max_cached)
-    return _OPEN[key]
+    if path not in _OPEN:
+        _OPEN[path] = ChunkTokenizer(path)
+    return _OPEN[path]
 
 
 def by_bytes(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str]]:
