@@ -34,8 +34,7 @@ SMALL_ROWS = 500_000
 def principal_axes(vectors: DataFrame, dims: int, sample: int = 10_000) -> np.ndarray:
     """Orthonormal axes (columns, by falling variance) of ``sample`` unit vectors at most, chosen by a hash of the key."""
     rows = vectors.where(F.size("v") == dims).orderBy(F.xxhash64("key"), "key").limit(sample).select("v").collect()
-    x = np.array([r.v for r in rows], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(np.array([r.v for r in rows], np.float64))
     values, axes = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(dims))
     return np.atleast_2d(axes)[:, ::-1]
 
