@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.components import connected_components
@@ -166,20 +166,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # A token that two classes have: its least class leads. Tokens of one class alone drop out here.
     postings = firsts.select("token", "key", "n")
     shared = cut(_shared_tokens(postings), "shared")
-    leaders = shared.where("key != leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("_n"))
+    leaders = shared.where("key != leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("leader_n").alias("leader_n"))
+    # Which group a document joins decides work alone, not results: like sets share about a third of their first tokens or more.
+    leaders = leaders.where(3 * 100 * F.col("_n") >= (100 - percent) * F.least("n", "leader_n"))
     best = leaders.groupBy("key").agg(F.max(F.struct(F.col("_n"), (-F.col("leader")).alias("l"))).alias("_b")).select("key", (-F.col("_b.l")).alias("leader"))
     nodes = shared.groupBy("key").agg(F.first("n").alias("n"))
     grouped = nodes.join(best, "key", "left").withColumn("leader", F.coalesce("leader", "key"))
     top = grouped.select(F.col("key").alias("leader"), F.col("leader").alias("_up"))
-    grouped = cut(grouped.join(top, "leader").select("key", "n", F.col("_up").alias("leader")), "grouped")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.05))).cast("int")
+    grouped = cut(grouped.join(top, "leader").select("key", "n", F.col("_up").alias("leader"), band.alias("band")), "grouped")
 
-    # Blocks of bounded size; every block of a group also has the group's leader.
-    totals = grouped.groupBy("leader").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n").alias("_tokens"), F.max(F.col("key") != F.col("leader")).alias("_more"))
+    # Blocks of bounded size, each of sets about as large as each other; every block of a group also has the group's leader.
+    totals = grouped.groupBy("leader", "band").agg(F.count(F.lit(1)).alias("_docs"), F.sum("n").alias("_tokens"), F.max(F.col("key") != F.col("leader")).alias("_more"))
     n_blocks = F.ceil(F.greatest(F.col("_docs") / BLOCK_DOCS, F.col("_tokens") / BLOCK_TOKENS)).cast("int")
     totals = cut(totals.withColumn("_blocks", n_blocks), "totals")
-    blocks = grouped.join(totals, "leader").select("key", "n", F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("_blocks"))).alias("block"), "_more")
+    blocks = grouped.join(totals, ["leader", "band"]).select("key", "n", F.xxhash64("leader", "band", F.pmod(F.xxhash64("key"), F.col("_blocks"))).alias("block"), "_more")
     blocks = cut(blocks, "blocks")
-    with_leader = totals.where("_more").select(F.col("leader").alias("key"), F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: F.xxhash64("leader", i.cast("long")))).alias("block"))
+    with_leader = totals.where("_more").select(F.col("leader").alias("key"), F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: F.xxhash64("leader", "band", i.cast("long")))).alias("block"))
     members = blocks.where("_more").select("key", "block").unionByName(with_leader).distinct()
     linked = cut(_open_blocks(_with_texts(docs, members.withColumn("part", F.lit(0)).withColumn("asks", F.lit(False))), size, percent), "links")
     found = connected_components(linked)
@@ -195,7 +198,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     asking = cells.select("token", F.col("key").alias("q"), F.col("n").alias("qn"), F.struct(F.col("_w"), F.col("component")).alias("_mine"))
     matrix = cells.groupBy("token", "block", F.struct(F.col("_w"), F.col("component")).alias("_theirs")).agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
     can = (F.col("_mine") < F.col("_theirs")) & (100 * F.col("qn") >= percent * F.col("_least")) & (100 * F.col("_most") >= percent * F.col("qn"))
-    asks = cut(asking.join(matrix, "token").where(can).select(F.col("q").alias("key"), F.col("qn").alias("n"), "block").distinct(), "asks")
+    met = asking.join(matrix, "token").where(can).groupBy("q", "block").agg(F.count(F.lit(1)).alias("_n"), F.first("qn").alias("n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+    needed = F.least(_least_shared(F.col("n"), F.col("_least"), percent), _least_shared(F.col("n"), F.col("_most"), percent))
+    asks = cut(met.where(F.col("_n") >= needed).select(F.col("q").alias("key"), "n", "block"), "asks")
     if not asks.isEmpty():
         per = cut(asks.groupBy("block").agg(F.ceil(F.sum("n") / QUERY_TOKENS).cast("int").alias("_parts")), "parts")
         queries = asks.join(per, "block").select("key", "block", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("part"), F.lit(True).alias("asks"))
@@ -211,12 +216,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """How many of their first tokens two sets of these sizes must share to reach the threshold, 1 at least.
+
+    They must share ``o = ceil(t (n + m) / (1 + t))`` tokens. Up to the last first token of
+    the set whose first tokens end earlier, all shared ones are first tokens of both; beyond
+    it that set has ``ceil(t n) - 1`` tokens left. For a range of sizes m the least is at one end.
+    """
+    up = lambda x: F.ceil(x).cast("long")
+    both = up(F.lit(percent) * (n + m) / F.lit(100 + percent))
+    return F.greatest(both - F.greatest(up(F.lit(percent) * n / F.lit(100)), up(F.lit(percent) * m / F.lit(100))) + 1, F.lit(1))
+
+
 def _shared_tokens(postings: DataFrame) -> DataFrame:
-    """token, key, n, leader for tokens of two keys or more. One exchange; each task streams its tokens in order."""
+    """token, key, n, leader, leader_n for tokens of two keys or more. One exchange; each task streams its tokens in order."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row, whose token may go on
-        lead: int | None = None
+        lead: tuple[int, int] = (0, 0)
         for batch in batches:
             token = batch.column("token").to_numpy()
             key = batch.column("key").to_numpy()
@@ -225,21 +242,22 @@ def _shared_tokens(postings: DataFrame) -> DataFrame:
                 continue
             goes_on = held is not None and held[0] == token[0]
             if held is not None and not goes_on:
-                held, lead = None, None
+                held = None
             new = np.concatenate([[not goes_on], token[1:] != token[:-1]])
             first = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-            leader = np.where(first >= 0, key[first], lead if lead is not None else 0)
+            leader = np.where(first >= 0, key[first], lead[0])
+            leader_n = np.where(first >= 0, n[first], lead[1])
             alone = leader == key
             again = np.concatenate([~new[1:], [False]])  # the same token follows within the batch
             out = ~alone | (alone & again)
-            extra = [(held[0], held[1], held[2], held[1])] if goes_on and held[3] else []  # a leader not given yet
-            cols = [np.concatenate([[e[i] for e in extra], a[out]]).astype(np.int64) for i, a in enumerate((token, key, n, leader))]
-            lead = int(leader[-1])
+            extra = [(held[0], held[1], held[2], held[1], held[2])] if goes_on and held[3] else []  # a leader not given yet
+            cols = [np.concatenate([[e[i] for e in extra], a[out]]).astype(np.int64) for i, a in enumerate((token, key, n, leader, leader_n))]
+            lead = (int(leader[-1]), int(leader_n[-1]))
             held = (token[-1], key[-1], n[-1], bool(alone[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "key", "n", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "key", "n", "leader", "leader_n"])
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "key")
-    return dealt.mapInArrow(runs, "token long, key long, n long, leader long")
+    return dealt.mapInArrow(runs, "token long, key long, n long, leader long, leader_n long")
 
 
 def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
