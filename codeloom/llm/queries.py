@@ -102,6 +102,10 @@ QUERIES = {f.__name__: f for f in (
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_REACH = """edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+        least_of AS (SELECT a, min(b) AS low FROM reach GROUP BY a)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op8_benchmark_decontamination": f"""
         WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
@@ -121,4 +125,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op3_embedding_near_dedup": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        {_REACH}
+        SELECT vec_id, (SELECT count(*) FROM edge WHERE edge.a = vec_id) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+        FROM embeddings LEFT JOIN least_of ON least_of.a = vec_id""",
+    "op9_jaccard_join": f"""
+        WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id AS id, array_to_string(w[i + 1 : i + least(5, len(w))], ' ') AS s
+            FROM doc, unnest(range(greatest(len(w) - 4, 1))) AS u(i) WHERE len(w) > 0),
+        n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+        met AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+        link AS (SELECT a, b FROM met JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        {_REACH}
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+        FROM doc LEFT JOIN n ON n.id = doc_id LEFT JOIN least_of ON least_of.a = doc_id""",
 }
