@@ -139,7 +139,7 @@ _search_symbols("c5_decorator", "detail_json LIKE '{\"ret%' AND (detail_json LIK
 _search_symbols("c6_resolved_type", "resolved_type = 'string'", resolved_type="string")
 simple("c7_search_by_name", f"SELECT {SYM} FROM symbols WHERE {_fts_sql(_SC, 'blue')} AND project = 'large' ORDER BY name, id LIMIT 50", lambda v: _sym(search.search_by_name(v("symbols"), "blue", "large")))
 simple("c8_by_kind", f"SELECT {SYM} FROM symbols WHERE project = 'promo' AND kind = 'enum'", lambda v: _sym(search.by_kind(v("symbols"), "promo", "enum")))
-simple("c9_by_fingerprint", f"SELECT {SYM} FROM symbols WHERE project = 'medium' AND fingerprint IN (SELECT fingerprint FROM symbols WHERE id = 4)", lambda v: _sym(v("symbols").where("project = 'medium'").join(v("symbols").where("id = 4").select("fingerprint"), "fingerprint", "left_semi")))
+simple("c9_by_fingerprint", f"SELECT {SYM} FROM symbols s WHERE EXISTS (SELECT 1 FROM symbols o WHERE o.id = 4 AND o.project = s.project AND o.fingerprint = s.fingerprint)", lambda v: _sym(v("symbols").join(v("symbols").where("id = 4").select("project", "fingerprint"), ["project", "fingerprint"], "left_semi")))
 simple("c10_search_relations", f"SELECT {REL} FROM relations WHERE type = 'imports' AND project = 'p1' AND dst_symbol_name IS NULL", lambda v: _rel(search.search_relations(v("relations"), type="imports", project="p1", dst_symbol_name=None)))
 simple("c11_glob_relations", f"SELECT {REL} FROM relations WHERE regexp_matches(src_file_path, '^src/n1[^/]*\\.ts$') AND (dst_file_path IS NULL OR regexp_matches(dst_file_path, '^(.*/)?n(2|3)[^/]\\.ts$'))", lambda v: _rel(search.search_relations(v("relations"), src_glob="src/n1*.ts", dst_glob="**/n{2,3}?.ts")))
 simple("c12_result_shape", "SELECT id, CASE WHEN instr(name, '.') > 0 THEN substr(name, instr(name, '.') + 1) END AS member_name, start_line AS line, CASE WHEN detail_json LIKE '{\"ret%' THEN 'T' || CAST(CAST(end_line - start_line AS INT) % 5 AS STRING) END AS return_type FROM symbols", lambda v: search.shaped_symbols(v("symbols")).select("id", "member_name", F.col("span.start.line").alias("line"), F.col("detail.returnType").alias("return_type")))
@@ -242,7 +242,7 @@ query("n8_change_rows")(lambda v: diff.change_rows(v("before_snapshot"), v("afte
 # --- places ---------------------------------------------------------------------------------
 simple("d13_next_declaration", "SELECT c.id, (SELECT arg_min(d.name, (d.start_line, d.name)) FROM declarations d WHERE d.file_path = c.file_path AND d.start_line > c.line AND d.start_line - c.line <= 3) AS symbol_name FROM comments c", lambda v: places.next_declaration(v("comments").select("id", "file_path", "line"), v("declarations")))
 simple("d14_latest_comment", """WITH rows AS (SELECT file_path, start_line AS place, 1 AS side, id FROM declarations UNION ALL SELECT file_path, line, 0, id FROM comments),
-    w AS (SELECT *, lag(side) OVER o AS ps, lag(id) OVER o AS pid FROM rows WINDOW o AS (PARTITION BY file_path ORDER BY place, side, id)) SELECT id, CASE WHEN ps = 0 THEN pid END AS comment_id FROM w WHERE side = 1""", lambda v: places.latest_comment(v("declarations"), v("comments").select("id", "file_path", "line")))
+    w AS (SELECT *, lag(side) OVER o AS ps, lag(id) OVER o AS pid FROM rows WINDOW o AS (PARTITION BY file_path ORDER BY place, side, id)) SELECT id, CASE WHEN ps = 0 THEN pid ELSE -1 END AS comment_id FROM w WHERE side = 1""", lambda v: places.latest_comment(v("declarations"), v("comments").select("id", "file_path", "line")).select("id", F.coalesce("comment_id", F.lit(-1)).alias("comment_id")))
 simple("d15_innermost_node", "SELECT o.id, arg_min(n.id, (n.end_at - n.start_at, n.id)) AS node_id FROM offsets o JOIN nodes n ON o.file_id = n.file_id AND n.start_at <= o.at AND o.at < n.end_at GROUP BY o.id", lambda v: places.innermost_node(v("offsets"), v("nodes")))
 simple("d15_node_at_span", "SELECT a.id, max(b.id) AS node_id FROM nodes a JOIN nodes b USING (file_id, start_at, end_at) WHERE a.id % 3 = 0 GROUP BY a.id", lambda v: places.node_at_span(v("nodes").where("id % 3 = 0"), v("nodes")))
 _TAG = r"(?:^|\s)@([a-zA-Z][\w-]*\w|[a-zA-Z])\s*(.*)$"
