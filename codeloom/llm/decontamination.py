@@ -1,8 +1,9 @@
 """Benchmark passages in documents, through a positional inverted index.
 
-Words of benchmark items form windows; for each window the rarest of its terms, by their
-counts over the whole corpus, are chosen. The index stores postings (term, document,
-positions) of the chosen terms only, so the frequent words that fill most of a corpus are
+Words of benchmark items form windows. Terms of the index are pairs of neighbouring words
+(the word itself in items of one word). For each window the rarest of its terms, by their
+counts over the whole corpus, are chosen, and the index stores postings (term, document,
+position) of the chosen terms only, so the frequent terms that fill most of a corpus are
 never shuffled. Lists of a window's terms, each shifted by the term's place in the window,
 are intersected from the rarest on; starts left over are checked word by word in the document.
 """
@@ -33,52 +34,72 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
     return grouped.select(F.sha2("_text", 256).alias("window"), F.split("_text", " ").alias("terms"), F.array_sort("items").alias("items"))
 
 
-def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """How often each ``term`` of the vocabulary stands in all documents."""
-    found = docs.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def document_terms(docs: DataFrame, key: list[str], single: bool) -> DataFrame:
+    """*key, position, term for every place of a document: each word with the next, or each alone if ``single``.
+
+    Terms are 64-bit hashes; what they lead to is checked word by word.
+    """
+    placed = docs.select(*key, words(F.col("text")).alias("_w")).select(*key, "_w", F.posexplode("_w").alias("position", "_word"))
+    term = F.xxhash64("_word") if single else F.xxhash64("_word", F.get("_w", F.col("position") + 1))
+    return placed.select(*key, "position", term.alias("term"))
+
+
+def of_terms(docs: DataFrame, key: list[str], terms: DataFrame) -> DataFrame:
+    """Postings of ``terms`` (term, single) alone. Single words are looked for only if there are any."""
+    found = document_terms(docs, key, False).join(small_or_not(terms.where("not single").select("term"), SMALL_ROWS), "term", "left_semi")
+    alone = terms.where("single").select("term")
+    if not alone.isEmpty():
+        found = found.unionByName(document_terms(docs, key, True).join(small_or_not(alone, SMALL_ROWS), "term", "left_semi"))
     return found
 
 
+def window_terms(windows: DataFrame) -> DataFrame:
+    """window, term, single, shift: each window's pairs of neighbours, the first place of each; a word alone where it is all."""
+    n = F.size("terms")
+    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get("terms", i), F.get("terms", i + 1)))
+    alone = F.transform("terms", lambda t: F.xxhash64(t))
+    each = windows.select("window", (n == 1).alias("single"), F.posexplode(F.when(n > 1, pairs).otherwise(alone)).alias("shift", "term"))
+    return each.groupBy("window", "single", "term").agg(F.min("shift").alias("shift"))
+
+
 def rarest_terms(windows: DataFrame, counts: DataFrame, lists: int) -> DataFrame:
     """For each window its ``lists`` rarest distinct terms (or all, if fewer): window, rank, term, shift, n_lists.
 
     A window with a term that the corpus hasn't can't occur, and isn't returned.
     """
-    each = windows.select("window", F.posexplode("terms").alias("shift", "term")).groupBy("window", "term").agg(F.min("shift").alias("shift"))
+    each = window_terms(windows)
     of_window = Window.partitionBy("window")
     known = each.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_least", F.min("n").over(of_window)).where("_least > 0")
     by_count = known.withColumn("rank", F.row_number().over(of_window.orderBy("n", "shift"))).where(F.col("rank") <= lists)
-    return by_count.withColumn("n_lists", F.count(F.lit(1)).over(of_window)).select("window", "rank", "term", "shift", "n_lists")
-
-
-def positional_index(docs: DataFrame, key: list[str], terms: DataFrame) -> DataFrame:
-    """Postings of ``terms``: one row ``term, *key, position`` for each place where a term stands."""
-    return docs.select(*key, F.posexplode(words(F.col("text"))).alias("position", "term")).join(terms, "term", "left_semi")
+    return by_count.withColumn("n_lists", F.count(F.lit(1)).over(of_window)).select("window", "rank", "term", "single", "shift", "n_lists")
 
 
 def phrase_candidates(index: DataFrame, chosen: DataFrame, key: list[str]) -> DataFrame:
     """Starts where all chosen terms of a window stand at their places: window, *key, start."""
     shifted = index.join(chosen, "term").select(*key, "window", "n_lists", "rank", (F.col("position") - F.col("shift")).alias("start")).where("start >= 0")
-    met = shifted.groupBy(*key, "window", "start").agg(F.count(F.lit(1)).alias("_met"), F.first("n_lists").alias("_of"))
-    return met.where("_met = _of").select("window", *key, "start")
+    met = shifted.groupBy(*key, "window", "start").agg(F.bit_or(F.expr("shiftleft(1L, rank - 1)")).alias("_met"), F.first("n_lists").alias("_of"))
+    return met.where("_met = shiftleft(1L, CAST(_of AS INT)) - 1").select("window", *key, "start")
 
 
-def exact_matches(docs: DataFrame, items: DataFrame, key: list[str], size: int = 10, lists: int = 3) -> DataFrame:
+def exact_matches(docs: DataFrame, items: DataFrame, key: list[str], size: int = 10, lists: int = 2) -> DataFrame:
     """Every place of ``docs`` (``*key``, text) where a window of ``items`` stands: *key, start, n, items.
 
     Rows of equal key and text count as one. Null texts have no words.
     """
     windows = cut(benchmark_windows(items, size), "windows")
-    vocabulary = cut(windows.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
-    counts = term_counts(docs, small_or_not(vocabulary, SMALL_ROWS))
+    vocabulary = cut(window_terms(windows).select("term", "single").distinct(), "vocabulary")
+    counts = of_terms(docs, [], vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     chosen = cut(rarest_terms(windows, counts, lists), "chosen")
-    index = cut(positional_index(docs, key, small_or_not(chosen.select("term").distinct(), SMALL_ROWS)), "index")
+    index = cut(of_terms(docs, key, cut(chosen.select("term", "single").distinct(), "terms")), "index")
     found = phrase_candidates(index, small_or_not(chosen, SMALL_ROWS), key)
     found = cut(found.join(small_or_not(windows.select("window", "terms", "items"), SMALL_ROWS), "window"), "candidates")
     per_doc = found.groupBy(*key).agg(F.collect_list(F.struct("start", "terms", "items")).alias("_found"))
-    kept = docs.join(per_doc, key).select(*key, "_found", words(F.col("text")).alias("_words"))
-    checked = kept.select(*key, F.filter("_found", lambda c: F.slice("_words", c["start"] + 1, F.size(c["terms"])) == c["terms"]).alias("_found"))
-    return checked.select(*key, F.explode("_found").alias("m")).select(*key, "m.start", F.size("m.terms").alias("n"), F.col("m.items").alias("items"))
+    some = docs.join(small_or_not(cut(found.select(*key).distinct(), "met"), SMALL_ROWS), key, "left_semi")
+    kept = some.join(per_doc, key).select(*key, "_found", words(F.col("text")).alias("_words"))
+    # Words are made below the explode, once a document, and not again for each start.
+    each = kept.select(*key, "_words", F.explode("_found").alias("m"))
+    checked = each.where(F.slice("_words", F.col("m.start") + 1, F.size("m.terms")) == F.col("m.terms"))
+    return checked.select(*key, "m.start", F.size("m.terms").alias("n"), F.col("m.items").alias("items"))
 
 
 def proximity_matches(docs: DataFrame, terms: list[str], within: int, key: str = "doc_id") -> DataFrame:
