@@ -154,14 +154,40 @@ def decode(parent: list[int], odds: np.ndarray) -> np.ndarray:
     return keep
 
 
+def main_texts(pages: list[str | None], model: BoostedTrees, most_nodes: int = 20_000) -> list[str]:
+    """Of each page the blocks of its main text in page order, joined by blank lines; empty if there are none.
+
+    Nodes of several pages are scored together, about ``most_nodes`` at a time.
+    """
+    out = [""] * len(pages)
+    held: list[tuple[int, Tree, list[str], np.ndarray]] = []
+
+    def score() -> None:
+        odds = model.log_odds(np.concatenate([f for *_, f in held]))
+        at = 0
+        for k, tree, texts, f in held:
+            keep = decode(tree.parent, odds[at : at + len(f)])
+            out[k] = "\n\n".join(t for t, kept in zip(texts, keep, strict=True) if t and kept)
+            at += len(f)
+        held.clear()
+
+    n = 0
+    for k, html in enumerate(pages):
+        tree = Tree((html or "").replace("\0", ""))
+        texts = tree.blocks()
+        if any(texts):
+            held.append((k, tree, texts, node_features(tree, texts)))
+            n += len(texts)
+        if n >= most_nodes:
+            score()
+            n = 0
+    if held:
+        score()
+    return out
+
+
 def main_text(html: str | None, model: BoostedTrees) -> str:
-    """Blocks of the main text in page order, joined by blank lines; empty if there are none."""
-    tree = Tree((html or "").replace("\0", ""))
-    texts = tree.blocks()
-    if not any(texts):
-        return ""
-    keep = decode(tree.parent, model.log_odds(node_features(tree, texts)))
-    return "\n\n".join(t for t, k in zip(texts, keep, strict=True) if t and k)
+    return main_texts([html], model)[0]
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
@@ -174,7 +200,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text") -
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, model.value) for h in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = main_texts(batch.column(batch.num_columns - 1).to_pylist(), model.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*names, out])
 
     rows = pages.select(*names, html)
