@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import html_extraction, language_id, packing, token_counts, token_files
+from codeloom.llm import html_extraction, language_id, line_dedup, packing, token_counts, token_files
 from codeloom.llm.components import connected_components
 from codeloom.llm.decontamination import decontaminate, proximity_matches
 from codeloom.llm.embedding_join import near_duplicate_vectors
@@ -349,5 +349,16 @@ def test_line_dedup_recall_against_brute_force(spark):
     assert 0.97 * want <= got <= want
 
 
+def test_line_dedup_compares_lines_whose_leader_is_like_neither(spark, monkeypatch):
+    # All lines meet in one bucket, whose leader is like none of them.
+    monkeypatch.setattr(line_dedup, "signatures", lambda lines: lines.select("id", *[F.lit(0).alias(f"m{k}") for k in range(24)]).distinct())
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 3, raising=False)
+    rng = random.Random(21)
+    lines = [prose(rng, 30) for _ in range(12)]
+    df = docs(spark, lines + [t + " tail" for t in lines])
+    lost = {r.doc_id for r in dedup_lines(df).where("n_removed > 0").collect()}
+    assert lost == set(range(12, 24))
+
+
 def test_fingerprints_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
