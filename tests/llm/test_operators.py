@@ -360,5 +360,24 @@ def test_line_dedup_compares_lines_whose_leader_is_like_neither(spark, monkeypat
     assert lost == set(range(12, 24))
 
 
+def test_line_dedup_reads_words_to_their_end(spark):
+    rng = random.Random(22)
+    lines = ["Order 2024000123", "Order 2024000199", "x" * 7, "x" * 6]
+    for _ in range(60):
+        w = prose(rng, rng.randint(3, 25))
+        k = rng.randrange(len(w))
+        lines += [w, w[:k] + "#" * rng.randint(1, 4) + w[k + rng.randint(0, 3) :], " ".join(x + "abcdefghij"[: rng.randint(4, 9)] for x in w.split())]
+    sets = {t: {t[i : i + 8] for i in range(len(t) - 7)} or {t} for t in lines}
+    names = sorted(sets)
+    comp = groups([(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], names)
+    seen, want = set(), set()
+    for i, t in enumerate(lines):
+        if comp[t] in seen:
+            want.add(i)
+        seen.add(comp[t])
+    got = {r.doc_id for r in dedup_lines(docs(spark, lines)).where("n_removed > 0").collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and not got & {0, 1, 2, 3}
+
+
 def test_fingerprints_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
