@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 18
@@ -71,17 +71,17 @@ def training_sample(docs: DataFrame, label: str, key: str, per_label: int, most:
 
 
 class KernelModel:
-    """``labels`` and the folded matrix: scores of a text are rows[bits].sum() / sqrt(bits) + bias."""
+    """``labels`` and the folded matrix: scores of a text are rows[bits].sum() / sqrt(bits) + bias. ``known``: the bits that a landmark sets."""
 
-    def __init__(self, labels: list[str], rows: np.ndarray, bias: np.ndarray):
-        self.labels, self.rows, self.bias = labels, rows, bias
+    def __init__(self, labels: list[str], rows: np.ndarray, bias: np.ndarray, known: np.ndarray):
+        self.labels, self.rows, self.bias, self.known = labels, rows, bias, known
 
     @classmethod
     def fit(cls, bits: list[np.ndarray], labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> KernelModel:
         """Fits on examples given by their bits, which must be in a fixed order. Landmarks are dealt evenly over the labels."""
         names = sorted(set(labels))
         if not names:
-            return cls([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+            return cls([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(1 << BITS, bool))
         by_label = [[i for i, x in enumerate(labels) if x == name] for name in names]
         chosen = [i for group in by_label for i in group[: max(1, landmarks // len(names))]]
         scale = np.array([1 / np.sqrt(max(1, len(b))) for b in bits])
@@ -109,7 +109,11 @@ class KernelModel:
         w = np.linalg.solve(x1.T @ (x1 * weight[:, None]) + penalty, x1.T @ (y * weight[:, None]))
         rows = np.zeros((1 << BITS, len(names)), np.float32)
         rows[used] = dense @ (to_space @ w[:-1]).astype(np.float32)
-        return cls(names, rows, w[-1])
+        return cls(names, rows, w[-1], place >= 0)
+
+    def known_share(self, bits: list[np.ndarray]) -> np.ndarray:
+        """The share of each text's bits that a landmark sets, 0 for a text of no letters."""
+        return np.array([self.known[b].mean() if len(b) else 0.0 for b in bits])
 
     def predict(self, bits: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
         """Labels and scores from 0 to 1; ``und`` and 0 for a text of no letters or a model of no labels."""
@@ -170,3 +174,16 @@ def identify_language(docs: DataFrame, model: KernelModel, text: str = "text") -
     found = docs.select(*names, identify(F.col(text)).alias("_found"))
     return found.select(*names, "_found.lang_pred", "_found.score")
 
+
+
+def known_share(texts: Column, model: KernelModel) -> Column:
+    """The share of a text's n-gram bits that the landmarks of ``model`` set, from 0 to 1, whatever the number of labels."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen, known = np.zeros(1 << BITS, bool), shared.value
+        for some in batches:
+            yield pd.Series([known.known_share([ngram_bits(t or "", seen)])[0] for t in some], dtype=float)
+
+    share.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(share, "double")(texts)
