@@ -199,7 +199,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     matrix = cells.groupBy("token", "block", F.struct(F.col("_w"), F.col("component")).alias("_theirs")).agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
     can = (F.col("_mine") < F.col("_theirs")) & (100 * F.col("qn") >= percent * F.col("_least")) & (100 * F.col("_most") >= percent * F.col("qn"))
     met = asking.join(matrix, "token").where(can).groupBy("q", "block").agg(F.count(F.lit(1)).alias("_n"), F.first("qn").alias("n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
-    needed = F.least(_least_shared(F.col("n"), F.col("_least"), percent), _least_shared(F.col("n"), F.col("_most"), percent))
+    needed = _least_shared_in(F.col("n"), F.col("_least"), F.col("_most"), percent)
     asks = cut(met.where(F.col("_n") >= needed).select(F.col("q").alias("key"), "n", "block"), "asks")
     if not asks.isEmpty():
         per = cut(asks.groupBy("block").agg(F.ceil(F.sum("n") / QUERY_TOKENS).cast("int").alias("_parts")), "parts")
@@ -221,13 +221,27 @@ def _least_shared(n: Column, m: Column, percent: int) -> Column:
 
     They must share ``o = ceil(t (n + m) / (1 + t))`` tokens. Up to the last first token of
     the set whose first tokens end earlier, all shared ones are first tokens of both; beyond
-    it that set has ``ceil(t n) - 1`` tokens left. For a range of sizes m the least is at one end.
+    it that set has ``ceil(t n) - 1`` tokens left.
     """
     up = lambda x: F.ceil(x).cast("long")
     both = up(F.lit(percent) * (n + m) / F.lit(100 + percent))
     return F.greatest(both - F.greatest(up(F.lit(percent) * n / F.lit(100)), up(F.lit(percent) * m / F.lit(100))) + 1, F.lit(1))
 
 
+def _least_shared_in(n: Column, least: Column, most: Column, percent: int) -> Column:
+    """The least of ``_least_shared`` over all sizes from least to most.
+
+    Up to n it never falls as m grows. From n on it falls by t t / (1 + t) a size, but the two
+    ceilings may move it by less than 1 each way, so a size before the last may need one less:
+    only sizes within (1 + t) / (t t) of the last can.
+    """
+    near_end = -(-100 * (100 + percent) // percent**2)
+    if near_end > 16:  # one less than at the ends is never too much
+        ends = F.least(_least_shared(n, least, percent), _least_shared(n, most, percent))
+        return F.greatest(ends - 1, F.lit(1))
+    return F.least(_least_shared(n, least, percent), *[_least_shared(n, F.greatest(least, most - i), percent) for i in range(near_end)])
+
+
 def _shared_tokens(postings: DataFrame) -> DataFrame:
     """token, key, n, leader, leader_n for tokens of two keys or more. One exchange; each task streams its tokens in order."""
 

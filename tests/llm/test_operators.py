@@ -308,6 +308,23 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_bound_holds_for_every_size_of_a_block(spark):
+    from codeloom.llm import jaccard_join
+
+    def shared(n, m, percent):
+        up = lambda a, b: -(-a // b)
+        return max(1, up(percent * (n + m), 100 + percent) - max(up(percent * n, 100), up(percent * m, 100)) + 1)
+
+    ranges = [(n, a, b) for n in [*range(2, 90), 158, 333] for a in range(max(1, int(0.8 * n)), int(1.25 * n) + 1) for b in range(a, int(1.05 * a) + 1)]
+    df = spark.createDataFrame(ranges, "n long, a long, b long")
+    for percent in (80, 40):
+        got = df.withColumn("x", jaccard_join._least_shared_in(F.col("n"), F.col("a"), F.col("b"), percent)).collect()
+        want = [min(shared(r.n, m, percent) for m in range(r.a, r.b + 1)) for r in got]
+        assert all(w - 1 <= r.x <= w for r, w in zip(got, want, strict=True))
+        if percent == 80:
+            assert [r.x for r in got] == want and {(r.n, r.a, r.b): r.x for r in got}[58, 58, 60] == 5
+
+
 def test_line_dedup_keeps_the_first_of_equal_and_like_lines(spark):
     rng = random.Random(13)
     long = prose(rng, 60)
