@@ -10,6 +10,7 @@ rank among documents of that length.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.scratch import cut, ranked
-from codeloom.llm.tokens import by_bytes, chunk_tokenizer, crc
+from codeloom.llm.tokens import by_bytes, chunk_tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -124,21 +125,21 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = chunk_tokenizer(tokenizer)
         for batch in batches:
-            keys, row = batch.column(0).to_pylist(), 0
-            for texts in by_bytes(batch.column(1).to_pylist()):
-                ids, stops = tok.encode_batch(texts, end_id)
-                out: list[tuple] = []
-                a = 0
-                for key, b in zip(keys[row : row + len(texts)], stops.tolist(), strict=True):
-                    for piece, at in enumerate(range(a, b, capacity)):
-                        part = ids[at : min(at + capacity, b)]
-                        out.append((key, piece, at - a, len(part), crc(part), part.view(np.int32))[: 5 + with_ids])
-                    a = b
-                row += len(texts)
-                columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=names)
+            for first, stop in by_bytes(batch.column(1)):
+                ids, stops = tok.encode_column(batch.column(1).slice(first, stop - first), end_id)
+                begins = np.concatenate([[0], stops[:-1]])
+                n_pieces = -(-(stops - begins) // capacity)
+                row = np.repeat(np.arange(len(stops)), n_pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                start = piece * capacity
+                length = np.minimum(stops[row] - begins[row] - start, capacity)
+                at = begins[row] + start
+                held = memoryview(ids.view(np.uint8))
+                sums = np.fromiter((zlib.crc32(held[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(at))
+                columns = [batch.column(0).slice(first, stop - first).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums)]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     schema = PIECES + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, schema)
