@@ -27,7 +27,8 @@ SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, tokens array
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> str:
     """Encodes ``docs`` (doc_id, text; null text: empty) and writes them, ordered by doc_id; gives the folder.
 
-    Rows of equal doc_id stay neighbours, ordered by text. Null doc_ids come first.
+    Rows of equal doc_id stay neighbours, ordered by a hash of the text, by which any number of
+    them is dealt over tasks. Null doc_ids come first. An empty table gives a folder without rows.
     """
     path = path or new_path(docs.sparkSession, "tokens")
 
@@ -35,23 +36,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
         part, at = TaskContext.get().partitionId(), 0
         tok = chunk_tokenizer(tokenizer)
         for batch in batches:
-            keys, row = batch.column(0), 0
-            for texts in by_bytes(batch.column(1).to_pylist()):
-                ids, stops = tok.encode_batch(texts, end_id)
+            for first, stop in by_bytes(batch.column(1)):
+                n = stop - first
+                ids, stops = tok.encode_column(batch.column(1).slice(first, n), end_id)
                 starts = np.concatenate([[0], stops[:-1]])
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(ids.view(np.int32)))
-                n = len(texts)
+                tokens = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(row, n), pa.array(np.full(n, part, np.int32)), pa.array(at + starts), pa.array(stops - starts), tokens],
+                    [batch.column(0).slice(first, n), pa.array(np.full(n, part, np.int32)), pa.array(at + starts), pa.array(stops - starts), tokens],
                     names=["doc_id", "part", "start_in_part", "n_tokens", "tokens"],
                 )
-                row, at = row + n, at + int(stops[-1])
+                at += len(ids)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     (
         ordered.mapInArrow(encode, SCHEMA).write
         .option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size", str(page_bytes))
         .option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "true").option("compression", "zstd")
+        .option("parquet.enable.dictionary#n_tokens", "false").option("parquet.enable.dictionary#start_in_part", "false")
+        .option("parquet.enable.dictionary#doc_id", "false")
         .parquet(path)
     )
     return path
@@ -61,6 +64,20 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, n_tokens: the scan reads these two columns and no ids."""
+    return read_token_files(spark, path).select("doc_id", "n_tokens")
+
+
+def read_documents(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """doc_id, tokens of the doc_ids from ``first`` to ``last``.
+
+    The filter reaches the scan, which skips row groups by their statistics and, in the rest,
+    reads the pages alone whose index entries overlap the range.
+    """
+    return read_token_files(spark, path).where(F.col("doc_id").between(first, last)).select("doc_id", "tokens")
+
+
 def document_starts(tokens: DataFrame) -> DataFrame:
     """``part, part_start``: ids in all files before this part, from the counts alone (no ids are read)."""
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n"))

@@ -170,6 +170,35 @@ def test_token_files_round_trip(spark):
     assert token_files.token_digest(token_files.read_token_files(spark, token_files.write_token_files(df.limit(0), WORDS, 2))).count() == 0
 
 
+def test_token_files_answer_counts_and_ranges_from_few_pages(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(10)
+    texts = [prose(rng, rng.randint(1, 80)) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no key"), (None, "no key"), (5, texts[5]), (5, "another")]
+    path = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 2, page_bytes=4 << 10)
+    lib = ChunkTokenizer(WORDS).tokenizer
+    ids = lambda t: [*lib.encode(t, add_special_tokens=False).ids, 2]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in token_files.read_counts(spark, path).collect()) == sorted((-1 if k is None else k, len(ids(t))) for k, t in rows)
+    assert "tokens:array" not in token_files.read_counts(spark, path)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert {r.doc_id: r.tokens for r in token_files.read_documents(spark, path, 40, 60).collect()} == {i: ids(texts[i]) for i in range(40, 61)}
+    plan = token_files.read_documents(spark, path, 40, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,40)" in plan
+    for f in glob.glob(path.removeprefix("file://") + "/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            by_name = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert "RLE_DICTIONARY" in by_name["tokens.list.element"].encodings
+            assert by_name["n_tokens"].encodings == by_name["start_in_part"].encodings == ("DELTA_BINARY_PACKED", "RLE") or "DELTA_BINARY_PACKED" in by_name["n_tokens"].encodings
+            assert all(c.has_offset_index and c.has_column_index for c in by_name.values())
+    digest = token_files.token_digest(token_files.read_token_files(spark, path)).collect()
+    total = sum(len(ids(t)) for _, t in rows)
+    spans = sorted((r.start, r.n_tokens) for r in digest)
+    assert [s for s, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))] and sum(n for _, n in spans) == total
+
+
 def test_token_counts_at_every_prefix(spark):
     counter = token_counts.PrefixCounter(PIECES)
     texts = [*ODD, " x", "x ", "a  b   c", "\n a", "▁a ▁▁b", "don't 12345", prose(random.Random(6), 80)]
@@ -184,7 +213,7 @@ def test_token_counts_at_every_prefix(spark):
 
 
 def test_chunk_tokenizer_equals_the_library_with_a_tiny_cache():
-    small = ChunkTokenizer(WORDS, max_chunks=5, max_parts=4)
+    small = ChunkTokenizer(WORDS, max_units=5, max_ids=40)
     rng = random.Random(8)
     for _ in range(5):
         texts = [t or "" for t in ODD] + [prose(rng, 30) for _ in range(5)] + ["Wörd!!! wörd,x İ ſ. 'S it'll. é. ñ***"]
