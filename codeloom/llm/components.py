@@ -4,7 +4,7 @@ Each round every node points to its least neighbour (if that is less than itself
 are doubled until they reach roots, and edges are rewritten between roots. Every component
 that isn't done at least halves its roots, so rounds and doublings are logarithmic. All
 tables are written to the shared folder, and joins read plain tables, so that Spark can
-split a hub's rows among tasks.
+split a hub's rows among tasks. The rounds' tables are deleted in the end.
 """
 
 from __future__ import annotations
@@ -12,11 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.scratch import cut
+from codeloom.llm.scratch import cut as written
+from codeloom.llm.scratch import drop_table
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (the least node reachable) for the nodes of ``edges``; loops and nulls are dropped."""
+    used: list[DataFrame] = []
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        used.append(written(df, name))
+        return used[-1]
+
     live = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "edges")
     labels: DataFrame | None = None
     while not live.isEmpty():
@@ -41,6 +48,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             old = labels.join(later, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
             labels = cut(old.unionByName(up), "labels")  # what hooks now was a root before, and so isn't in labels
     if labels is None:
-        return live.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+        return live.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)  # one empty table stays
     roots = labels.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return cut(labels.unionByName(roots).select("node", F.col("root").alias("component")), "components")
+    out = written(labels.unionByName(roots).select("node", F.col("root").alias("component")), "components")
+    for table in used:
+        drop_table(table)
+    return out

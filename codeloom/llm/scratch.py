@@ -21,8 +21,19 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of our own, but only if all runs in this one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or _own_folder()).rstrip("/")
+
+
+def drop_table(table: DataFrame) -> None:
+    """Deletes a table that ``cut`` wrote and that no plan needs any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,12 +48,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df``, marked for broadcast only if its rows, counted here, are at most ``max_rows``.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_or_not(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast only if its rows are at most ``max_rows`` and hold at most ``max_bytes``, counted here.
 
-    Beyond that the join is left to a shuffle, with the same result.
+    Beyond that the join is left to a shuffle, with the same result. ``df`` should be a written
+    table, since it is read for the count.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    kinds = dict(df.dtypes)
+    width = F.lit(16 * len(kinds))
+    for name, kind in kinds.items():
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif "<" in kind:
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def salts(spark: SparkSession) -> int:

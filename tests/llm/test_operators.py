@@ -1,6 +1,5 @@
 """Each operator on hand-made rows against a plain reckoning, with nulls, empty and long texts, ties, repeats and clashing names."""
 
-import hashlib
 import random
 import re
 import zlib
@@ -76,6 +75,34 @@ def test_language_learns_and_leaves_letterless_texts_unknown(spark):
     assert language_id.identify_language(df.limit(0), model).count() == 0
 
 
+def test_language_scores_equal_the_plain_kernel():
+    rng = random.Random(31)
+    kinds = {"aa": ["tion", "the", "ing"], "bb": ["eau", "que", "oux"], "cc": ["sch", "ung", "ein"]}
+    labels = [rng.choice(list(kinds)) for _ in range(60)]
+    texts = [" ".join("".join(rng.choices(kinds[k], k=3)) for _ in range(rng.randint(1, 30))) for k in labels]
+    seen = np.zeros(1 << language_id.BITS, bool)
+    bits = [language_id.ngram_bits(t, seen) for t in texts]
+    model = language_id.KernelModel.fit(bits, labels, landmarks=24)
+    # The same by whole kernel matrices over sets.
+    sets = [set(b.tolist()) for b in bits]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = [i for name in sorted(kinds) for i in [j for j, x in enumerate(labels) if x == name][:8]]
+    k_all = np.array([[kernel(a, sets[i]) for i in marks] for a in sets])
+    values, vectors = np.linalg.eigh(k_all[marks])
+    keep = values > 1e-8 * values.max()
+    x = np.hstack([k_all @ vectors[:, keep] / np.sqrt(values[keep]), np.ones((60, 1))])
+    weight = np.array([60 / (3 * labels.count(lab)) for lab in labels])
+    penalty = 1e-3 * 60 * np.diag([1.0] * keep.sum() + [0.0])
+    best = []
+    for name in sorted(kinds):
+        y = np.array([1.0 if lab == name else -1.0 for lab in labels])
+        best.append(x @ np.linalg.solve(x.T @ (x * weight[:, None]) + penalty, x.T @ (y * weight)))
+    best = np.array(best).T
+    names, scores = model.predict(bits)
+    assert names == [sorted(kinds)[i] for i in best.argmax(axis=1)]
+    assert np.allclose(scores, np.clip((best.max(axis=1) + 1) / 2, 0, 1), atol=1e-4)
+
+
 def test_packing_is_gapless_and_near_the_bound(spark):
     rng = random.Random(2)
     texts = ODD + [prose(rng, rng.choice([3, 40, 300, 900, 1500, 3000])) for _ in range(60)] + ["same text"] * 20
@@ -118,6 +145,28 @@ def test_packing_plan_pairs_large_items_best():
         assert bins == alone
 
 
+def test_packing_fills_gaps_as_plain_best_fit_does():
+    rng = random.Random(41)
+    for _ in range(200):
+        capacity = rng.choice([12, 40, 97])
+        sizes = [rng.randint(1, rng.choice([capacity // 3, capacity // 6 + 1, capacity])) for _ in range(rng.randint(1, 60))]
+        large = sorted(x for x in sizes if 3 * x > capacity)
+        rooms = []
+        while large:  # the longest with the longest partner that fits
+            big = large.pop()
+            fits = [i for i, x in enumerate(large) if x + big <= capacity]
+            rooms.append(capacity - big - (large.pop(fits[-1]) if fits else 0))
+        for x in sorted((x for x in sizes if 3 * x <= capacity), reverse=True):
+            open_ = [r for r in rooms if r >= x]
+            if open_:
+                rooms.remove(min(open_))
+                rooms.append(min(open_) - x)
+            else:
+                rooms.append(capacity - x)
+        plan = packing.plan_packing({x: sizes.count(x) for x in sizes}, capacity)
+        assert int((plan[:, 3] + (plan[:, 2] - 1) // plan[:, 5]).max()) + 1 == len(rooms)
+
+
 def brute_vectors(vectors, cosine):
     ok = {i: np.array(v, float) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     pairs = [(a, b) for a in ok for b in ok if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= cosine]
@@ -128,7 +177,7 @@ def brute_vectors(vectors, cosine):
 def test_embedding_join_against_brute_force(spark, monkeypatch):
     from codeloom.llm import embedding_join
 
-    monkeypatch.setattr(embedding_join, "BLOCK", 64)
+    monkeypatch.setattr(embedding_join, "BLOCK_BYTES", 64 * 12 * 8)
     monkeypatch.setattr(embedding_join, "LEAF", 16)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(150, 12))
@@ -142,6 +191,9 @@ def test_embedding_join_against_brute_force(spark, monkeypatch):
     assert {k: v for k, v in got.items() if k in want} == want
     assert got[len(rows) - 2][:2] == (1, len(rows) - 2)  # the two equal directions link, however small or large
     assert near_duplicate_vectors(df.limit(0)).count() == 0
+    single = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors[:400]]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicate_vectors(spark.createDataFrame(single, "vec_id long, embedding array<float>")).collect()}
+    assert got == brute_vectors(single, 0.95)
 
 
 def test_spanning_links_keep_parts_together():
@@ -212,6 +264,41 @@ def test_token_counts_at_every_prefix(spark):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 4096)
 
 
+def test_token_counts_of_blanks_repeats_and_no_rows(spark):
+    import time
+
+    counter = token_counts.PrefixCounter(PIECES)
+    counter.count(" " * 1000)
+    for t in (" " * 1_000_000, "x" + " " * 300_001 + "\0" * 2000 + "y"):
+        began = time.process_time()
+        n = counter.count(t)
+        assert time.process_time() - began < 2 and n == len(counter.lib.encode(t))
+    df = docs(spark, ["a  b", None, ""]).unionByName(spark.createDataFrame([(0, "a  b"), (None, "x y z"), (None, None)], "doc_id long, text string")).withColumn("fit_chars", F.lit("clash"))
+    got = token_counts.count_tokens(df, PIECES, 2).collect()
+    size = lambda t: len(counter.lib.encode(t or ""))
+    rows = [(0, "a  b"), (0, "a  b"), (1, None), (2, ""), (None, "x y z"), (None, None)]
+    want = [(i, len((t or "").encode()), size(t), size(t) > 2, max(k for k in range(len(t or "") + 1) if size((t or "")[:k]) <= 2)) for i, t in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert token_counts.count_tokens(df.limit(0), PIECES, 2).count() == 0
+    prefixes = {r.doc_id: r.prefix_tokens for r in token_counts.prefix_table(docs(spark, ["a  b\nword", None]), PIECES).collect()}
+    assert prefixes == {0: [size("a  b\nword"[:k]) for k in range(10)], 1: [0]}
+
+
+def test_token_counts_over_small_blocks_and_tables(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    bits = ["a", "the", "b ", " ", "  ", "\n", "▁", "\0", "é", "日本", "😀", "Word", "12345", "ing", " " * 17]
+    texts = [None, "", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(150))]
+    counter, cut = token_counts.PrefixCounter(PIECES, max_words=40, max_fits=50), token_counts.blocks
+    monkeypatch.setattr(token_counts, "blocks", lambda data, space: cut(data, space, 7))
+    for budget in (1, 4):
+        n, fit = counter.count_column(pa.array(texts, pa.string()), budget)
+        for t, a, b in zip(texts, n, fit, strict=True):
+            sizes = [len(counter.lib.encode((t or "")[:k])) for k in range(len(t or "") + 1)]
+            assert a == sizes[-1] and b == max(k for k, x in enumerate(sizes) if x <= budget)
+
+
 def test_chunk_tokenizer_equals_the_library_with_a_tiny_cache():
     small = ChunkTokenizer(WORDS, max_units=5, max_ids=40)
     rng = random.Random(8)
@@ -238,6 +325,22 @@ def test_sharding_moves_rows_only_into_the_new_shard(spark):
         rendezvous_shard(F.col("key"), [1.0, 0.0])
 
 
+def test_sharding_equals_a_plain_reckoning(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    def draw(key, shard, weight):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), xxhash.xxh64_intdigest(str(key).encode(), 42))
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight
+
+    weights = [1.0, 2.0, 0.5, 1.0]
+    df = spark.createDataFrame([(i, "a" * (i % 3)) for i in range(400)], "key long, shard string").withColumn("slot", F.lit("clash"))
+    for r in shard_records(df, "key", weights).collect():
+        assert r.shard == min(range(4), key=lambda s: draw(r.key, s, weights[s]))
+
+
 def test_html_keeps_the_article_and_drops_what_stands_around(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>"</script></head><body><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>
     <div class="cookie-notice"><p>We use cookies on this site.</p><button>OK</button></div><article><h1>A title &amp; more</h1><p>The  first
@@ -305,6 +408,24 @@ def test_proximity_search(spark):
     assert {(r.doc_id, r.start, r.stop) for r in got} == {(1, 0, 1)}
 
 
+def test_proximity_reads_the_same_words_as_the_rest(spark):
+    rng = random.Random(12)
+    texts = ["Ärzte sind hier", "ärzte HIER", "hier - Ärzte", None, ""] + [" ".join(rng.choice(["Ärzte", "hier", "HIER", "x", "été"]) for _ in range(rng.randint(1, 20))) for _ in range(40)]
+    wanted, within = ["Ärzte", "Hier"], 4
+    want = set()
+    for i, t in enumerate(texts):
+        w = _words(t)
+        last = {}
+        for k, x in enumerate(w):
+            if x in ("Ärzte", "hier"):
+                last[x] = k
+                if len(last) == 2 and k - min(last.values()) < within:
+                    want.add((i, min(last.values()), k))
+    got = proximity_matches(docs(spark, texts).withColumn("term", F.lit("clash")), wanted, within).collect()
+    assert {(r.doc_id, r.start, r.stop) for r in got} == want and len(got) == len(want)
+    assert proximity_matches(docs(spark, []), wanted, within).count() == 0
+
+
 def _shingles(text, n=5):
     w = (text or "").encode().lower().split()
     n = min(n, len(w))
@@ -382,9 +503,8 @@ def test_line_dedup_recall_against_brute_force(spark):
                 w[rng.randrange(len(w))] = f"zz{rng.randint(0, 999)}"
             lines.append(" ".join(w))
         texts.append("\n".join(lines))
-    pattern = re.compile(r"(?=[^\W_])(?=(.{1,8}))[^\W_]+", re.S)
     places = [(i, n, line) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"))]
-    sets = {line: set(pattern.findall(line.lower())) for _, _, line in places}
+    sets = {line: {line[i : i + 8] for i in range(len(line) - 7)} or {line} for _, _, line in places}  # from every character
     names = sorted(sets)
     comp = groups([(a, b) for a in names for b in names if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], names)
     seen, want = set(), 0
@@ -425,5 +545,31 @@ def test_line_dedup_reads_words_to_their_end(spark):
     assert got <= want and len(got) >= 0.98 * len(want) and not got & {0, 1, 2, 3}
 
 
-def test_fingerprints_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_line_dedup_tells_rows_of_one_key_apart(spark):
+    rows = [(1, "common line that is here\nown words of the first text"), (6, "common line that is here"), (6, "a thing that nobody else has said"), (None, "common line that is here\nmore words"), (None, "quite another line of words"), (None, None), (6, "common line that is here")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((repr(r.doc_id), r.text, r.n_removed) for r in got if r.text is not None) == sorted([
+        ("1", "own words of the first text", 1), ("6", "", 1), ("6", "", 1), ("6", "a thing that nobody else has said", 0),
+        ("None", "common line that is here\nmore words", 0), ("None", "quite another line of words", 0),
+    ])
+    many = "\n".join(["a line that is repeated all over"] * 3000 + ["the last one"])
+    got = dedup_lines(docs(spark, [many])).first()
+    assert got.text == "a line that is repeated all over\nthe last one" and got.n_removed == 2999
+
+
+def test_line_dedup_keeps_lines_that_differ_late_in_a_word(spark):
+    lines = ["order20240101123456", "order20240199999999", "internationalisation department", "internationalization department", "x" * 400, "x" * 500, "y" * 90 + "z" * 90]
+    assert dedup_lines(docs(spark, lines)).where("n_removed > 0 and doc_id != 5").count() == 0  # 400 and 500 x are one shingle
+
+
+def test_line_dedup_finds_pairs_on_both_sides_of_the_sampled_length(spark):
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    lines, want = [], 0
+    for n in (100, 120, 128, 140, 155, 158, 160, 165, 180, 200, 400, 900):
+        for _ in range(6):
+            t = "".join(rng.choices(letters, k=n - 1)) + "e"
+            lines += [t, t[: n // 2] + "".join(rng.choices(letters, k=max(1, n // 60))).strip() + t[n // 2 :]]
+            want += 1
+    got = {r.doc_id for r in dedup_lines(docs(spark, lines)).where("n_removed > 0").collect()}
+    assert got <= set(range(1, len(lines), 2)) and len(got) >= 0.97 * want
