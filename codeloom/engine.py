@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from codeloom import schema
 from codeloom.errors import LoomError
 from codeloom.extract.source import Source, parse_jsdoc
-from codeloom.operators import bindings, diff, graph, indexing, patterns, search
+from codeloom.functions import text
+from codeloom.operators import bindings, diff, graph, indexing, patterns, search, types
 from codeloom.sources import projects, tables
+from codeloom.sources.config import load_aliases
+from codeloom.streaming.lease import Lease
 
 RETENTION_DAYS = 30
 UNSET = search.UNSET
@@ -30,7 +33,7 @@ class Loom:
     def __init__(self, spark: SparkSession, root: str, folder: str, role: str = "owner"):
         self.spark, self.root, self.role = spark, root.rstrip("/"), role
         self.store = tables.TableStore(spark, folder)
-        self.closed = False
+        self.closed, self.lease = False, None
         self._graphs: dict[str, DataFrame] = {}
         self._memory: dict[str, str] = {}
         self._listeners: dict[str, list[Callable]] = {"indexed": [], "changed": [], "error": [], "role": []}
@@ -40,11 +43,28 @@ class Loom:
         if not root.startswith(("/", "file:", "hdfs:", "s3")):
             raise LoomError("validation", "the root must be an absolute path")
         self = cls(spark, root, folder or f"{root.rstrip('/')}/.codeloom", role)
-        if index and role == "owner":
+        if role == "owner" and "://" not in self.store.folder.removeprefix("file://"):
+            self.lease = Lease(self.store.folder.removeprefix("file://"))
+            self.role = self.lease.acquire()
+        if index and self.role == "owner":
             self.reindex()
         return self
 
+    def poll(self) -> str:
+        """Renews an owner's lease, or tries for one that is free; gives the role and tells ``role`` where it changed.
+
+        To be called every HEARTBEAT_S by owners and every POLL_S by readers. A run looks first, too.
+        """
+        if self.lease is not None and not self.closed:
+            role = "owner" if self.lease.heartbeat() or self.role == "reader" and self.lease.acquire() == "owner" else "reader"
+            if role != self.role:
+                self.role = role
+                self._tell("role", role)
+        return self.role
+
     def close(self, cleanup: bool = False) -> None:
+        if not self.closed and self.lease is not None:
+            self.lease.release()
         if not self.closed and cleanup:
             self.store.drop()
         self.closed = True
@@ -84,11 +104,13 @@ class Loom:
                 pass
 
     # --- indexing -------------------------------------------------------------------------------
-    def _scan(self) -> DataFrame:
+    def _scan(self, paths: list[str] | None = None) -> DataFrame:
+        """All files, or those of ``paths``, with what is held in memory before what is stored."""
         bounds = self.spark.createDataFrame(self.projects, "dir string, project string")
-        scan = projects.scan_files(self.spark, self.root)
-        if self._memory:
-            held = self.spark.createDataFrame(list(self._memory.items()), "file_path string, content string")
+        scan = projects.scan_files(self.spark, self.root) if paths is None else projects.read_files(self.spark, self.root, paths)
+        memory = [(p, t) for p, t in self._memory.items() if paths is None or p in paths]
+        if memory:
+            held = self.spark.createDataFrame(memory, "file_path string, content string")
             held = held.select("file_path", F.lit(0.0).alias("mtime_ms"), F.length("content").cast("long").alias("size"), "content")
             scan = scan.join(held.select("file_path"), "file_path", "left_anti").select(*scan.columns).unionByName(held)
         return projects.file_projects(scan, bounds, self.default_project).withColumn("content_hash", indexing.content_hash("content"))
@@ -102,10 +124,10 @@ class Loom:
         return self._apply({path: kind for kind, path in events})
 
     def _apply(self, events: dict[str, str] | None) -> dict:
-        if self.closed or self.role != "owner":
+        if self.closed or self.poll() != "owner":
             raise LoomError("closed", "only an open owner may index")
         began, now, run = time.time(), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z"), uuid.uuid4().hex
-        scan = tables.cut(self._scan(), "scan")
+        scan = tables.cut(self._scan(None if events is None else [p for p, k in events.items() if k != "delete"]), "scan")
         files, symbols, relations, annotations, log = self.files, self.symbols, self.relations, self.annotations, self.changelog
         if events is None:
             status = tables.cut(projects.detect_changes(scan, files), "status")
@@ -122,7 +144,7 @@ class Loom:
         new_files = tables.replace_of_files(files, touched, rows)
         next_id = lambda t: (t.agg(F.max("id")).first()[0] or 0) + 1
         new_symbols = tables.cut(indexing.symbols_of(parsed, rows, now, next_id(symbols)), "symbols")
-        new_relations = tables.cut(indexing.relations_of(parsed, new_files.select("file_path"), bounds, next_id(relations)), "relations")
+        new_relations = tables.cut(indexing.relations_of(parsed, new_files.select("file_path"), bounds, next_id(relations), load_aliases(self.spark, self.root)), "relations")
         new_annotations = tables.cut(indexing.annotations_of(parsed, now, next_id(annotations)), "annotations")
         kept = tables.cascade_delete(files, symbols, relations, annotations, gone)
         merged = {
@@ -132,7 +154,7 @@ class Loom:
             "annotations": tables.replace_of_files(kept["annotations"], touched, new_annotations),
         }
         before = tables.cut(symbols.join(touched, ["project", "file_path"], "left_semi").select(*symbols.columns), "before")
-        changes = tables.cut(diff.change_rows(before, new_symbols, run, now, events is None, next_id(log)), "changes")
+        changes = tables.cut(diff.change_rows(before, new_symbols, run, now, events is None, next_id(log), events is not None, merged["symbols"]), "changes")
         moved = changes.where("change_type = 'moved'").select(F.col("project").alias("dst_project"), F.col("old_file_path").alias("old_file"), F.col("symbol_name").alias("old_symbol"), F.col("file_path").alias("new_file"), F.col("symbol_name").alias("new_symbol"), F.lit(None).cast("string").alias("new_project"))
         merged["relations"] = tables.retarget(merged["relations"], moved)
         oldest = (datetime.now(UTC) - timedelta(days=RETENTION_DAYS)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
@@ -266,8 +288,9 @@ class Loom:
         out = graph.fan_metrics(self._graph(project))
         return out if path is None else out.where(F.col("node") == path)
 
-    def resolve_symbol(self, name: str, path: str) -> DataFrame:
-        return graph.resolve_symbols(self.relations, self.spark.createDataFrame([(name, path)], "name string, file_path string"))
+    def resolve_symbol(self, name: str, path: str, project: str | None = None) -> DataFrame:
+        """The origin of an exported name; through re-exports of ``project`` alone, or of all projects."""
+        return graph.resolve_symbols(self.relations, self.spark.createDataFrame([(name, path)], "name string, file_path string"), project)
 
     def heritage_chain(self, name: str, path: str) -> dict:
         """The tree above a symbol; one that comes again is a leaf."""
@@ -320,3 +343,26 @@ class Loom:
     def find_pattern(self, pattern: str, paths: list[str] | None = None) -> DataFrame:
         scan = self._scan()
         return patterns.find_pattern(scan if paths is None else scan.where(F.col("file_path").isin(paths)), pattern)
+
+    # --- positions ------------------------------------------------------------------------------
+    def line_column_to_position(self, path: str, line: int, column: int) -> int | None:
+        """0-based offset in a file of a 1-based line and 0-based column; None for a place or a file that isn't there."""
+        at = self._scan([path]).select(text.line_column_to_position(F.col("content"), F.lit(line), F.lit(column))).first()
+        return at[0] if at else None
+
+    def find_name_position(self, path: str, start: int, name: str) -> int | None:
+        """0-based offset of the first whole word ``name`` at or after ``start``."""
+        at = self._scan([path]).select(text.find_name_position(F.col("content"), F.lit(start), F.lit(name))).first()
+        return at[0] if at else None
+
+    # --- types ----------------------------------------------------------------------------------
+    def file_types(self, path: str) -> DataFrame:
+        """name, type of the declarations of a file, as far as they are declared or literal."""
+        return types.file_types(self.symbols.where(F.col("file_path") == path))
+
+    def is_assignable(self, source: tuple[str, str], target: tuple[str, str]) -> bool:
+        """Whether a symbol (file, name) extends or implements another, or has all that the other's members ask for."""
+        if types.nominally_assignable(self.relations, source, target):
+            return True
+        alike = types.structurally_assignable(self.symbols.where(F.col("file_path").isin(source[0], target[0])), *target)
+        return not alike.where((F.col("file_path") == source[0]) & (F.col("name") == source[1])).isEmpty()

@@ -7,6 +7,8 @@ noted as an error and skipped; no source makes it fail.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -580,12 +582,13 @@ class Source:
         return out
 
     # --- relations of symbols -----------------------------------------------------------------
-    def _bindings(self) -> dict[str, Import]:
+    @functools.cached_property
+    def _bound(self) -> dict[str, Import]:
         return {x.local: x for x in self.imports if x.local and x.imported and x.kind in ("imports", "type-references")}
 
     def _target(self, name: str) -> tuple[str | None, str, dict]:
-        """specifier (None: this file), name there, metadata of a dotted name."""
-        bound, head, _, rest = self._bindings(), *name.partition(".")
+        """specifier (None: this file), name there, metadata of a dotted name. All imports must have been read."""
+        bound, head, _, rest = self._bound, *name.partition(".")
         if head in bound:
             b = bound[head]
             if not rest:
@@ -689,12 +692,15 @@ class Source:
                     if m := _TAG.search(re.sub(r"^\s*\*?\s?", "", line)):
                         found.append((m[1], m[2].strip(), "block", c.start, c.end))
         flush()
-        starts = sorted((self.lines.place(s.start)[0], s.name) for s in self.symbols)
+        named = [(self.lines.place(x.start)[0], name) for s in self.symbols for x, name in [(s, s.name), *((m, f"{s.name}.{m.name}") for m in s.members)]]
+        named.sort(key=lambda x: x[0])  # of several on a line a symbol before its members, and these before the next symbol
+        starts = [line for line, _ in named]
         out = []
         for tag, value, source, a, b in found:
             end = self.lines.place(b)[0]
-            below = [name for line, name in starts if end < line <= end + 3]
-            out.append({"tag": tag, "value": value, "source": source, "symbol_name": below[0] if below else None, "start": a, "end": b})
+            k = bisect.bisect_right(starts, end)
+            near = k < len(named) and starts[k] - end <= 3
+            out.append({"tag": tag, "value": value, "source": source, "symbol_name": named[k][1] if near else None, "start": a, "end": b})
         return out
 
 

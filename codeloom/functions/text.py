@@ -3,54 +3,67 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fts_phrases(query: str) -> list[list[str]]:
-    """Terms of each blank-separated token of a query; a token's last term is a prefix. Tokens without terms drop out."""
-    tokens = query.replace("\0", "").split()
-    return [t for t in (re.findall(r"[^\W_]+", _fold(token)) for token in tokens) if t]
+def _folds() -> tuple[str, str]:
+    """Letters (lower-cased) and what they are searched as, for ``translate``; the marks at the end are taken out.
 
+    An ASCII letter with one mark is that letter; letters that fold to another one are that.
+    Marks that make such letters fall away where they stand alone; others part terms.
+    """
+    letters, marks = {}, set()
+    for c in map(chr, range(0xA0, 0x2000)):
+        if not c.isalpha() or c != c.lower():
+            continue
+        plain = c.casefold() if len(c.casefold()) == 1 else c
+        parts = unicodedata.normalize("NFD", plain)
+        if len(parts) == 2 and parts[0].isascii() and unicodedata.combining(parts[1]):
+            marks.add(parts[1])
+            plain = parts[0]
+        if plain != c:
+            letters[c] = plain
+    return "".join(letters) + "".join(sorted(marks)), "".join(letters.values())
 
-def _fold(s: str) -> str:
-    import unicodedata
 
-    return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
+_FROM, _TO = _folds()
+_FOLD = {ord(c): _TO[i] if i < len(_TO) else None for i, c in enumerate(_FROM)}
 
 
-def is_blank_query(query: str | None) -> bool:
-    return not (query or "").replace("\0", "").strip()
+def fts_phrases(query: str) -> list[list[str]]:
+    """Terms of each blank-separated token of a query; a token's last term is a prefix. Tokens without terms drop out."""
+    tokens = query.replace("\0", "").split()
+    return [t for t in (re.findall(r"[^\W_]+", token.lower().translate(_FOLD)) for token in tokens) if t]
 
 
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def is_blank_query(query: str | None) -> bool:
+    return not (query or "").replace("\0", "").strip()
 
 
-def fts_terms(text: Column) -> Column:
-    """Lower-cased alphanumeric terms of a text, Latin diacritics stripped."""
-    return F.filter(F.split(F.translate(F.lower(text), _MARKED, _PLAIN), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def fts_text(text: Column) -> Column:
+    """The terms of a text, lower-cased and folded as ``fts_phrases`` folds a query, each behind a blank. Texts of ASCII take the fast built-ins alone."""
+    low = F.lower(text)
+    folded = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _FROM, _TO))
+    return F.concat(F.lit(" "), F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 
 def fts_match(columns: list[Column], query: str) -> Column:
-    """Whether each phrase of the query stands in some column, its last term as a prefix. A query without terms matches nothing."""
+    """Whether each phrase of the query stands in some column, its last term as a prefix. A query without terms matches nothing.
+
+    With a blank before each term, a phrase is a piece of the text of terms.
+    """
     phrases = fts_phrases(query)
     if not phrases:
         return F.lit(False)
-
-    def in_column(terms: Column, phrase: list[str]) -> Column:
-        n = len(phrase)
-        starts = F.sequence(F.lit(1), F.size(terms) - n + 1)
-        whole = F.array(*[F.lit(p) for p in phrase[:-1]]).cast("array<string>")
-        here = lambda i: (F.slice(terms, i, n - 1) == whole) & F.startswith(F.element_at(terms, (i + n - 1).cast("int")), F.lit(phrase[-1]))
-        return (F.size(terms) >= n) & F.exists(F.when(F.size(terms) >= n, starts), here)
-
+    texts = [fts_text(c) for c in columns]
     out = F.lit(True)
     for phrase in phrases:
         any_column = F.lit(False)
-        for c in columns:
-            any_column = any_column | F.coalesce(in_column(fts_terms(c), phrase), F.lit(False))
+        for t in texts:
+            any_column = any_column | F.coalesce(F.contains(t, F.lit(" " + " ".join(phrase))), F.lit(False))
         out = out & any_column
     return out
 
@@ -110,6 +123,37 @@ def column_of(text: Column, offset: Column) -> Column:
     return F.length(F.substring_index(F.substr(text, F.lit(1), offset), "\n", -1))
 
 
+_LINE = r"[^\n\r\u2028\u2029]*(?:\r\n|[\n\r\u2028\u2029]|\z)"
+_LINE_END = r"\r\n|[\n\r\u2028\u2029]"
+
+
+def line_column_to_position(text: Column, line: Column, column: Column) -> Column:
+    """0-based offset of a 1-based line and 0-based column; null for a place that the text hasn't.
+
+    A column may reach up to its line's end, the line's own end sign among it; on the last line
+    up to the text's end.
+    """
+    n = F.regexp_count(text, F.lit(_LINE_END)) + 1
+    lines = F.slice(F.regexp_extract_all(text, F.lit(_LINE), F.lit(0)), F.lit(1), n)
+    start = F.length(F.array_join(F.slice(lines, F.lit(1), line - 1), ""))
+    width = F.length(F.get(lines, line - 1))
+    inside = (column >= 0) & ((column < width) | ((line == n) & (column == width)))
+    return F.when((line >= 1) & (line <= n), F.when(inside, start + column))
+
+
+def find_name_position(text: Column, start: Column, name: Column) -> Column:
+    """0-based offset of the first ``name`` at or after ``start`` that stands as a whole word; null if there is none.
+
+    What may stand in a name (ASCII letters, digits, _ and $) must not stand beside it.
+    """
+    # From the sign before the start on, so that it is seen but not matched.
+    at = F.greatest(start, F.lit(0))
+    rest = F.when(at > 0, F.substr(text, at)).otherwise(text)
+    word = F.concat(F.when(at > 0, r"(?!\A)").otherwise(""), F.lit(r"(?<![A-Za-z0-9_$])\Q"), name, F.lit(r"\E(?![A-Za-z0-9_$])"))
+    found = F.regexp_instr(rest, word)
+    return F.when((found > 0) & (F.length(name) > 0), found - 1 + F.greatest(at - 1, F.lit(0)))
+
+
 def member_name(name: Column) -> Column:
     """What follows the first dot of a member's name; null for others."""
     at = F.instr(name, ".")

@@ -108,8 +108,12 @@ def moves(removed_rows: DataFrame, current: DataFrame) -> DataFrame:
     return joined.where("old_file != new_file").select("project", "name", "kind", "old_file", "new_file", "new_name", "fingerprint")
 
 
-def change_rows(before: DataFrame, after: DataFrame, run_id: str, changed_at: str, is_full: bool, first_id: int = 1, find_moves: bool = True) -> DataFrame:
-    """Change-log rows of two snapshots, in the order added, modified, removed, renamed, moved."""
+def change_rows(before: DataFrame, after: DataFrame, run_id: str, changed_at: str, is_full: bool, first_id: int = 1, find_moves: bool = True, current: DataFrame | None = None) -> DataFrame:
+    """Change-log rows of two snapshots, in the order added, modified, removed, renamed, moved.
+
+    The snapshots may be of touched files alone; ``current`` has all symbols there are now, among
+    which a moved one's fingerprint must be the only one of its project.
+    """
     b, a = latest_by_key(before), latest_by_key(after)
     new, gone = added(b, a), removed(b, a)
     named = renames(new, gone)
@@ -117,7 +121,7 @@ def change_rows(before: DataFrame, after: DataFrame, run_id: str, changed_at: st
     gone = gone.join(named.select("file_path", F.col("old_name").alias("name")), KEY, "left_anti")
     new_names = named.select("file_path", F.col("new_name").alias("name"))
     fresh = new.join(new_names, KEY, "left_anti")
-    moved = moves(gone, a) if find_moves else moves(gone, a).limit(0)
+    moved = moves(gone, a if current is None else current) if find_moves else moves(gone, a).limit(0)
     gone = gone.join(moved.select(F.col("old_file").alias("file_path"), "name"), KEY, "left_anti")
     fresh = fresh.join(moved.select(F.col("new_file").alias("file_path"), F.col("new_name").alias("name")), KEY, "left_anti")
     null = F.lit(None).cast("string")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom import schema
 from codeloom.sources.tables import cut
@@ -28,8 +29,9 @@ def patched_edges(old: DataFrame, touched: DataFrame, relations: DataFrame) -> D
     kept = old.join(gone, F.col("src") == F.col("_f"), "left_anti").join(gone, F.col("dst") == F.col("_f"), "left_anti")
     changed = touched.where(~F.col("deleted")).select(F.col("file_path").alias("_f"))
     new = edges(relations)
-    touching = new.join(changed, (F.col("src") == F.col("_f")) | (F.col("dst") == F.col("_f")), "left_semi")
-    return kept.unionByName(touching).distinct()
+    leaving = new.join(changed, F.col("src") == F.col("_f"), "left_semi")
+    coming = new.join(changed, F.col("dst") == F.col("_f"), "left_semi")
+    return kept.unionByName(leaving).unionByName(coming).distinct()
 
 
 def import_graph(graph: DataFrame) -> DataFrame:
@@ -99,10 +101,53 @@ def has_cycle(graph: DataFrame) -> bool:
 
 
 def strong_components(graph: DataFrame) -> DataFrame:
-    """node, component (its least node) for nodes on cycles: pairs that reach each other."""
-    pairs = closure(cyclic_core(graph))
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return pairs.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    """node, component (its least node) for nodes on cycles.
+
+    Nodes outside any cycle are peeled off first. Then, again and again, each node takes the
+    least node that leads to it as its colour; within a colour, all that leads back to the
+    colour's own node is one component, and goes. Every round settles a component for each
+    colour, and its tables are as large as the graph that is left, never as its pairs.
+    """
+    live, done = cyclic_core(graph), None
+    while not live.isEmpty():
+        nodes = live.select(F.col("src").alias("node")).distinct()
+        colour = _spread_least(live, nodes.withColumn("c", F.col("node")))
+        within = (
+            live.join(colour.toDF("src", "_a"), "src").join(colour.toDF("dst", "_b"), "dst")
+            .where("_a = _b").select("src", "dst", F.col("_a").alias("c"))
+        )
+        within = cut(within, "within")
+        found = seen = cut(colour.where("node = c"), "roots")
+        while True:
+            back = found.join(within, (F.col("node") == F.col("dst")) & (found["c"] == within["c"])).select(F.col("src").alias("node"), within["c"].alias("c")).distinct()
+            found = cut(back.join(seen.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti"), "found")
+            if found.isEmpty():
+                break
+            seen = cut(seen.unionByName(found), "seen")
+        settled = seen.select("node", F.col("c").alias("component"))
+        # A node with no edge to itself or to its component's others lies on no cycle.
+        alone = settled.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(F.col("component").alias("node"))
+        loops = live.where("src = dst").select(F.col("src").alias("_l"))
+        alone = alone.join(loops, F.col("node") == F.col("_l"), "left_anti")
+        kept = settled.join(alone, "node", "left_anti")
+        done = kept if done is None else done.unionByName(kept)
+        gone = seen.select(F.col("node").alias("_g"))
+        rest = live.join(gone, F.col("src") == F.col("_g"), "left_anti").join(gone, F.col("dst") == F.col("_g"), "left_anti")
+        live = cyclic_core(cut(rest, "live"))
+    return done if done is not None else graph.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+
+
+def _spread_least(graph: DataFrame, marks: DataFrame) -> DataFrame:
+    """node, c: the least mark of any node that leads to it, its own among them. Only marks that fell are passed on."""
+    step = graph.select("src", "dst")
+    fell = marks
+    while True:
+        passed = fell.join(step, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("_d")).agg(F.min("c").alias("_c"))
+        marks = cut(marks.join(passed, F.col("node") == F.col("_d"), "left").select("node", F.least("c", F.coalesce("_c", "c")).alias("c"), (F.coalesce(F.col("_c") < F.col("c"), F.lit(False))).alias("_fell")), "marks")
+        fell = marks.where("_fell").select("node", "c")
+        if fell.isEmpty():
+            return marks.select("node", "c")
+        marks = marks.select("node", "c")
 
 
 def circuits(graph: DataFrame, max_cycles: int | None = None) -> DataFrame:
@@ -151,28 +196,43 @@ def direct_dependents(relations: DataFrame, project: str, file_path: str, limit:
     return rows.select("id", "src_file_path")
 
 
-def resolve_symbols(relations: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each ``name, file_path`` its origin through re-exports: original_name, original_file, hops, circular.
+def resolve_symbols(relations: DataFrame, wanted: DataFrame, project: str | None = None, limit: int = 500) -> DataFrame:
+    """For each ``name, file_path`` its origin through re-exports: original_name, original_file, hops, chain, circular.
 
-    At each hop the re-export of the least id whose specifiers export the name is followed.
+    At each hop the re-export of the least id (among the first ``limit`` of its file) whose
+    specifiers export the name is followed; one without a target, or with an empty local name,
+    ends the way there. ``chain`` has the file and name of each place that was left. A place
+    that comes again ends the way, too, as its own origin, and sets ``circular``.
     """
     meta = F.from_json("meta_json", schema.META)
+    mine = relations.where(F.col("type") == "re-exports")
+    if project is not None:
+        mine = mine.where(F.col("project") == project)
+    of_file = Window.partitionBy("src_file_path").orderBy("id")
     hops = (
-        relations.where((F.col("type") == "re-exports") & F.col("dst_file_path").isNotNull())
+        mine.withColumn("_rank", F.row_number().over(of_file)).where(F.col("_rank") <= limit)
         .select("id", "src_file_path", "dst_file_path", F.posexplode(meta["specifiers"]).alias("_pos", "_s"))
         .groupBy(F.col("src_file_path").alias("_f"), F.col("_s.exported").alias("_n"))
         .agg(F.min(F.struct("id", "_pos", "dst_file_path", F.col("_s.local").alias("local"))).alias("_hop"))
     )
-    hops = cut(hops, "hops")
-    live = wanted.select("name", "file_path", F.col("name").alias("_at"), F.col("file_path").alias("_in"), F.array(F.concat_ws("::", "file_path", "name")).alias("_seen"))
+    hops = cut(hops.where(F.col("_hop.dst_file_path").isNotNull() & (F.col("_hop.local") != "")), "hops")
+    no_chain = F.array().cast("array<struct<file_path:string,exported_as:string>>")
+    live = wanted.select("name", "file_path", F.col("name").alias("_at"), F.col("file_path").alias("_in"), F.array(F.concat_ws("::", "file_path", "name")).alias("_seen"), no_chain.alias("chain"))
     done = None
     while True:
         stepped = live.join(hops, (F.col("_in") == F.col("_f")) & (F.col("_at") == F.col("_n")), "left")
+        moves = F.col("_hop").isNotNull()
         nxt = F.concat_ws("::", F.col("_hop.dst_file_path"), F.col("_hop.local"))
-        stepped = cut(stepped.withColumn("_circular", F.col("_hop").isNotNull() & F.array_contains("_seen", nxt)).withColumn("_next", nxt), "resolve")
-        ended = stepped.where(F.col("_hop").isNull() | F.col("_circular")).select("name", "file_path", F.col("_at").alias("original_name"), F.col("_in").alias("original_file"), (F.size("_seen") - 1).cast("long").alias("hops"), F.col("_circular").alias("circular"))
+        left = F.concat("chain", F.array(F.struct(F.col("_in").alias("file_path"), F.col("_at").alias("exported_as"))))
+        stepped = cut(stepped.select(
+            "name", "file_path", F.coalesce("_hop.local", "_at").alias("_at"), F.coalesce("_hop.dst_file_path", "_in").alias("_in"),
+            F.when(moves, F.concat("_seen", F.array(nxt))).otherwise(F.col("_seen")).alias("_seen"), F.when(moves, left).otherwise(F.col("chain")).alias("chain"),
+            (moves & F.array_contains("_seen", nxt)).alias("_circular"), moves.alias("_moves"),
+        ), "resolve")
+        ended = stepped.where(~F.col("_moves") | F.col("_circular"))
+        ended = ended.select("name", "file_path", F.col("_at").alias("original_name"), F.col("_in").alias("original_file"), F.size("chain").cast("long").alias("hops"), "chain", F.col("_circular").alias("circular"))
         done = ended if done is None else done.unionByName(ended)
-        live = stepped.where(F.col("_hop").isNotNull() & ~F.col("_circular")).select("name", "file_path", F.col("_hop.local").alias("_at"), F.col("_hop.dst_file_path").alias("_in"), F.concat("_seen", F.array("_next")).alias("_seen"))
+        live = stepped.where(F.col("_moves") & ~F.col("_circular")).select("name", "file_path", "_at", "_in", "_seen", "chain")
         if live.isEmpty():
             return done
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # How compiled names map to sources, and what is tried for a name without an extension, in order.
 COMPILED = ((".js", ".ts"), (".mjs", ".mts"), (".cjs", ".cts"))
-ENDINGS = (".ts", ".d.ts", ".mts", ".cts", "/index.ts", "/index.d.ts", "/index.mts", "/index.cts")
+ENDINGS = (".ts", ".d.ts", "/index.ts", "/index.d.ts", ".mts", "/index.mts", ".cts", "/index.cts")
 
 
 def folded(path: Column) -> Column:
@@ -21,21 +21,27 @@ def is_bare(specifier: Column) -> Column:
     return ~specifier.rlike(r"^[./]")
 
 
-def candidates(src_path: Column, specifier: Column) -> Column:
-    """Paths that a relative specifier may mean, in order; none for a bare one."""
-    base = folded(F.concat_ws("/", F.regexp_replace(src_path, "/?[^/]*$", ""), specifier))
-    out = F.transform(F.array(*[F.lit(e) for e in ENDINGS]), lambda e: F.concat(base, e))
+def source_names(base: Column) -> Column:
+    """Paths of sources that a path without a known extension may mean, in order; a compiled name means its source."""
+    out = F.array(*[F.concat(base, F.lit(e)) for e in ENDINGS])
     for a, b in COMPILED:
         out = F.when(F.endswith(base, F.lit(a)), F.array(F.concat(F.substr(base, F.lit(1), F.length(base) - len(a)), F.lit(b)))).otherwise(out)
     for e in (".ts", ".mts", ".cts"):
         out = F.when(F.endswith(base, F.lit(e)), F.array(base)).otherwise(out)
-    return F.when(~is_bare(specifier), out).otherwise(F.array().cast("array<string>"))
+    return out
+
+
+def candidates(src_path: Column, specifier: Column, aliases: list[tuple[str, list[str]]] = (), base_url: str = ".") -> Column:
+    """Paths that a specifier may mean, in order: of a relative one beside its source, of others by the first alias that matches."""
+    base = folded(F.concat_ws("/", F.regexp_replace(src_path, "/?[^/]*$", ""), specifier))
+    bases = F.when(~is_bare(specifier), F.array(base)).otherwise(alias_candidates(specifier, list(aliases), base_url))
+    return F.flatten(F.transform(bases, source_names))
 
 
 def alias_candidates(specifier: Column, aliases: list[tuple[str, list[str]]], base_url: str = "") -> Column:
-    """For path aliases (pattern with one ``*`` at most, targets): bases of the first pattern that matches."""
+    """For path aliases (pattern with one ``*`` at most, targets): bases of the first pattern that matches. Patterns without targets match nothing."""
     out = F.array().cast("array<string>")
-    for pattern, targets in reversed(aliases):
+    for pattern, targets in reversed([(p, t) for p, t in aliases if t]):
         head, star, tail = pattern.partition("*")
         hit = F.startswith(specifier, F.lit(head)) & F.endswith(specifier, F.lit(tail)) & (F.length(specifier) >= len(head) + len(tail)) if star else specifier == pattern
         middle = F.substr(specifier, F.lit(len(head) + 1), F.length(specifier) - len(head) - len(tail)) if star else F.lit("")
@@ -44,9 +50,9 @@ def alias_candidates(specifier: Column, aliases: list[tuple[str, list[str]]], ba
     return out
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = (), base_url: str = ".") -> DataFrame:
     """``imports`` (id, src_file_path, specifier) with dst_file_path (the first candidate that is a file; else null), is_external and is_unresolved."""
-    each = imports.select("id", F.posexplode(candidates(F.col("src_file_path"), F.col("specifier"))).alias("_at", "file_path"))
+    each = imports.select("id", F.posexplode(candidates(F.col("src_file_path"), F.col("specifier"), aliases, base_url)).alias("_at", "file_path"))
     hit = each.join(files.select("file_path").distinct(), "file_path").groupBy("id").agg(F.min(F.struct("_at", "file_path")).alias("_m"))
     out = imports.join(hit, "id", "left").withColumn("dst_file_path", F.col("_m.file_path")).drop("_m")
     missing = F.col("dst_file_path").isNull()

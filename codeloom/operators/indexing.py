@@ -112,10 +112,17 @@ def annotations_of(parsed: DataFrame, now: str, first_id: int = 1) -> DataFrame:
     return _as(numbered(rows, ["project", "file_path", "_pos"], "id", first_id), schema.ANNOTATIONS)
 
 
-def relations_of(parsed: DataFrame, known_files: DataFrame, boundaries: DataFrame, first_id: int = 1) -> DataFrame:
-    """Relations with their targets resolved. A name of this file targets it; a path that leaves the root drops the row."""
+def _alias_options(aliases: dict | None) -> dict:
+    return {"aliases": aliases["paths"], "base_url": aliases["base_url"]} if aliases else {}
+
+
+def relations_of(parsed: DataFrame, known_files: DataFrame, boundaries: DataFrame, first_id: int = 1, aliases: dict | None = None) -> DataFrame:
+    """Relations with their targets resolved. A name of this file targets it; a path that leaves the root drops the row.
+
+    aliases: of ``load_aliases``, or None.
+    """
     rows = numbered(_rows(parsed, "relations", _RELATION), ["project", "file_path", "_pos"], "id", first_id).withColumnRenamed("file_path", "src_file_path")
-    named = resolve_imports(rows.where("specifier is not null").select("id", "src_file_path", "specifier"), known_files).select("id", F.col("dst_file_path").alias("_dst"), "is_external")
+    named = resolve_imports(rows.where("specifier is not null").select("id", "src_file_path", "specifier"), known_files, **_alias_options(aliases)).select("id", F.col("dst_file_path").alias("_dst"), "is_external")
     rows = rows.join(named, "id", "left")
     outside = F.startswith(folded(F.concat_ws("/", F.regexp_replace("src_file_path", "/?[^/]*$", ""), F.col("specifier"))), F.lit("../")) & F.startswith("specifier", F.lit("."))
     rows = rows.where(~F.coalesce(outside, F.lit(False)))

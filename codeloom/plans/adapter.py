@@ -43,8 +43,9 @@ VIEWS = {
         FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders) WHERE prev IS NOT NULL""",
     "rings": """
         SELECT DISTINCT 's' || CAST(a AS STRING) AS src, 's' || CAST(b AS STRING) AS dst FROM (
-            SELECT s_suppkey AS a, (7 * s_suppkey + 3) % m AS b FROM supplier, (SELECT least(count(*), 100) AS m FROM supplier) WHERE s_suppkey < 100
-            UNION ALL SELECT s_suppkey, (3 * s_suppkey + s_nationkey) % m FROM supplier, (SELECT least(count(*), 100) AS m FROM supplier) WHERE s_suppkey < 100 AND s_suppkey % 4 = 0)""",
+            SELECT k AS a, k - k % 12 + (5 * k + 1) % 12 AS b FROM (SELECT s_suppkey AS k FROM supplier)
+            UNION ALL SELECT k, k - k % 12 + (7 * k + n) % 12 FROM (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier) WHERE k % 4 = 0
+            UNION ALL SELECT k, k + 12 FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 12 = 5)""",
     "changelog": """
         SELECT event_id AS id, 'p' || CAST(user_id % 3 AS STRING) AS project, CASE event_type WHEN 'click' THEN 'modified' WHEN 'error' THEN 'removed' WHEN 'purchase' THEN 'added' WHEN 'signup' THEN 'renamed' ELSE 'moved' END AS change_type,
             'sym' || CAST(user_id % 50 AS STRING) AS symbol_name, 'function' AS symbol_kind, 'src/n' || CAST(user_id % 40 AS STRING) || '.ts' AS file_path,
@@ -65,7 +66,7 @@ VIEWS = {
         SELECT p_partkey AS id, 'src/n' || CAST(p_partkey % 40 AS STRING) || '.ts' AS file_path, CAST(1 + (p_partkey * 11) % 900 AS INT) AS start_line, 'decl' || CAST(p_partkey AS STRING) AS name FROM part""",
     "nodes": """
         SELECT p_partkey AS id, p_partkey % 40 AS file_id, CAST((p_partkey * 13) % 1000 AS INT) AS start_at, CAST((p_partkey * 13) % 1000 + 1 + p_size * p_size AS INT) AS end_at FROM part""",
-    "offsets": """SELECT o_orderkey AS id, o_orderkey % 40 AS file_id, CAST((o_custkey * 31) % 1500 AS INT) AS at FROM orders WHERE o_orderkey % 5 = 0""",
+    "offsets": """SELECT o_orderkey AS id, o_orderkey % 40 AS file_id, CAST((o_custkey * 31) % 1500 AS INT) AS at FROM orders""",
     "leases": """
         SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE user_id END AS pid, user_id % 5 AS own_pid, event_id % 3 <> 0 AS alive, CAST(floor(value * 10) AS BIGINT) AS age_s, 'i' || CAST(user_id % 4 AS STRING) AS instance_id, 'i' || CAST(event_id % 4 AS STRING) AS own_instance FROM events""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import diff, graph, imports, places, search
+from codeloom.operators import bindings, diff, graph, imports, places, search
 from codeloom.plans.adapter import view, with_views
 from codeloom.sources import projects, tables
 
@@ -210,13 +210,16 @@ simple("j10_circuits", _CIRCUITS, lambda v: graph.circuits(v("rings")).select(F.
 simple("g5_max_cycles", _CIRCUITS.replace(" /*recursive*/", " ORDER BY cycle LIMIT 5 /*recursive*/"), lambda v: graph.circuits(v("rings"), 5).select(F.array_join("cycle", "::").alias("cycle")))
 simple("j12_import_graph", f"WITH {_EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT node, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges WHERE src = node), '') AS dependencies FROM n", lambda v: graph.import_graph(_graph(v)).select("node", F.array_join("dependencies", ",").alias("dependencies")))
 simple("e3_fan_metrics", f"WITH {_EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges) SELECT node, (SELECT count(*) FROM edges WHERE dst = node) AS fan_in, (SELECT count(*) FROM edges WHERE src = node) AS fan_out FROM n", lambda v: graph.fan_metrics(_graph(v)))
-_WANT = "SELECT DISTINCT 'sym' || CAST(id % 30 AS STRING) AS name, 'src/n' || CAST(id % 40 AS STRING) || '.ts' AS file_path FROM symbols WHERE id < 200"
-simple("j13_resolve_symbol", f"""WITH want AS ({_WANT}), hop AS (
-        SELECT src_file_path AS f, 'sym' || CAST(CAST(floor(id / 8.0) AS BIGINT) % 30 AS STRING) AS n, arg_min(dst_file_path, id) AS df, arg_min(dst_symbol_name, id) AS dn FROM relations WHERE type = 're-exports' AND dst_file_path IS NOT NULL GROUP BY 1, 2),
-    walk AS (SELECT name, file_path, name AS here, file_path AS inn, [file_path || '::' || name] AS seen, false AS circular FROM want
-        UNION ALL SELECT w.name, w.file_path, CASE WHEN list_contains(w.seen, h.df || '::' || h.dn) THEN w.here ELSE h.dn END, CASE WHEN list_contains(w.seen, h.df || '::' || h.dn) THEN w.inn ELSE h.df END, list_append(w.seen, h.df || '::' || h.dn), list_contains(w.seen, h.df || '::' || h.dn)
-        FROM walk w JOIN hop h ON h.f = w.inn AND h.n = w.here WHERE NOT w.circular)
-    SELECT name, file_path, arg_max(here, len(seen)) AS original_name, arg_max(inn, len(seen)) AS original_file, max(len(seen)) - 1 - CAST(bool_or(circular) AS INT) AS hops, bool_or(circular) AS circular FROM walk GROUP BY name, file_path /*recursive*/""", lambda v: graph.resolve_symbols(v("relations"), v("symbols").where("id < 200").selectExpr("'sym' || CAST(id % 30 AS STRING) AS name", "'src/n' || CAST(id % 40 AS STRING) || '.ts' AS file_path").distinct()))
+_WANT = "SELECT DISTINCT 'sym' || CAST(id % 30 AS STRING) AS name, 'src/n' || CAST(id % 40 AS STRING) || '.ts' AS file_path FROM symbols"
+simple("j13_resolve_symbol", f"""WITH want AS ({_WANT}),
+    re AS (SELECT *, row_number() OVER (PARTITION BY src_file_path ORDER BY id) AS k FROM relations WHERE type = 're-exports' AND project = 'p1'),
+    hop AS (SELECT f, n, df, dn FROM (
+        SELECT src_file_path AS f, 'sym' || CAST(CAST(floor(id / 8.0) AS BIGINT) % 30 AS STRING) AS n, dst_file_path AS df, regexp_extract(meta_json, '"local":"([^"]*)"', 1) AS dn, id FROM re WHERE k <= 500)
+        QUALIFY row_number() OVER (PARTITION BY f, n ORDER BY id) = 1),
+    walk AS (SELECT name, file_path, name AS here, file_path AS inn, [file_path || '::' || name] AS seen, '' AS chain, false AS circular FROM want
+        UNION ALL SELECT w.name, w.file_path, h.dn, h.df, list_append(w.seen, h.df || '::' || h.dn), w.chain || w.inn || '::' || w.here || ';', list_contains(w.seen, h.df || '::' || h.dn)
+        FROM walk w JOIN hop h ON h.f = w.inn AND h.n = w.here WHERE NOT w.circular AND h.df IS NOT NULL)
+    SELECT name, file_path, arg_max(here, len(seen)) AS original_name, arg_max(inn, len(seen)) AS original_file, max(len(seen)) - 1 AS hops, arg_max(chain, len(seen)) AS chain, bool_or(circular) AS circular FROM walk GROUP BY name, file_path /*recursive*/""", lambda v: graph.resolve_symbols(v("relations"), v("symbols").selectExpr("'sym' || CAST(id % 30 AS STRING) AS name", "'src/n' || CAST(id % 40 AS STRING) || '.ts' AS file_path").distinct(), "p1").withColumn("chain", F.array_join(F.transform("chain", lambda c: F.concat(c["file_path"], F.lit("::"), c["exported_as"], F.lit(";"))), "")))
 _HER = "h AS (SELECT DISTINCT src_file_path || '::' || src_symbol_name AS src, dst_file_path || '::' || dst_symbol_name AS dst, type AS kind FROM relations WHERE type IN ('extends', 'implements') AND dst_file_path IS NOT NULL AND dst_symbol_name IS NOT NULL)"
 simple("j14_heritage_edges", f"WITH {_HER}, reach AS (SELECT 'src/n5.ts::sym5' AS node UNION SELECT h.dst FROM reach r JOIN h ON h.src = r.node) SELECT src, dst, kind FROM h WHERE src IN (SELECT node FROM reach) /*recursive*/", lambda v: graph.heritage_edges(v("relations"), "sym5", "src/n5.ts").select("src", "dst", "kind"))
 
@@ -244,18 +247,36 @@ simple("d13_next_declaration", "SELECT c.id, (SELECT arg_min(d.name, (d.start_li
 simple("d14_latest_comment", """WITH rows AS (SELECT file_path, start_line AS place, 1 AS side, id FROM declarations UNION ALL SELECT file_path, line, 0, id FROM comments),
     w AS (SELECT *, lag(side) OVER o AS ps, lag(id) OVER o AS pid FROM rows WINDOW o AS (PARTITION BY file_path ORDER BY place, side, id)) SELECT id, CASE WHEN ps = 0 THEN pid ELSE -1 END AS comment_id FROM w WHERE side = 1""", lambda v: places.latest_comment(v("declarations"), v("comments").select("id", "file_path", "line")).select("id", F.coalesce("comment_id", F.lit(-1)).alias("comment_id")))
 simple("d15_innermost_node", "SELECT o.id, arg_min(n.id, (n.end_at - n.start_at, n.id)) AS node_id FROM offsets o JOIN nodes n ON o.file_id = n.file_id AND n.start_at <= o.at AND o.at < n.end_at GROUP BY o.id", lambda v: places.innermost_node(v("offsets"), v("nodes")))
-simple("d15_node_at_span", "SELECT a.id, max(b.id) AS node_id FROM nodes a JOIN nodes b USING (file_id, start_at, end_at) WHERE a.id % 3 = 0 GROUP BY a.id", lambda v: places.node_at_span(v("nodes").where("id % 3 = 0"), v("nodes")))
+simple("d15_node_at_span", "SELECT a.id, max(b.id) AS node_id FROM nodes a JOIN nodes b USING (file_id, start_at, end_at) GROUP BY a.id", lambda v: places.node_at_span(v("nodes"), v("nodes")))
+# Fixed value: what counts as a tag.
 _TAG = r"(?:^|\s)@([a-zA-Z][\w-]*\w|[a-zA-Z])\s*(.*)$"
 simple("l20_comment_tags", f"SELECT id, regexp_extract(text, '(?m){_TAG}', 1) AS tag, regexp_extract(text, '(?m){_TAG}', 2) AS value FROM comments WHERE regexp_matches(text, '(?m){_TAG}')", lambda v: places.comment_tags(v("comments")))
 simple("l10_member_rows", "SELECT id, name || '.x' AS name FROM symbols WHERE detail_json LIKE '{\"ret%' UNION ALL SELECT id, name || '.y' || CAST(id % 5 AS STRING) FROM symbols WHERE detail_json LIKE '{\"ret%'", lambda v: v("symbols").select("id", "name", F.explode(search.detail_of(F.col("detail_json"))["members"]).alias("m")).select("id", F.concat_ws(".", "name", "m.name").alias("name")))
 simple("d12_resolve_imports", """WITH f AS (SELECT DISTINCT src_file_path AS p FROM relations) SELECT id, (SELECT min(p) FROM f WHERE NOT is_external AND p = 'src/' || substr(specifier, 3) || '.ts') AS dst_file_path, is_external AND specifier LIKE 'pkg%' AS is_external,
     NOT is_external AND NOT EXISTS (SELECT 1 FROM f WHERE p = 'src/' || substr(specifier, 3) || '.ts') AS is_unresolved FROM relations""", lambda v: imports.resolve_imports(v("relations").select("id", "src_file_path", "specifier"), v("relations").select(F.col("src_file_path").alias("file_path"))).select("id", "dst_file_path", "is_external", "is_unresolved"))
-simple("k16_candidates", "SELECT id, unnest(['src/' || substr(specifier, 3) || e FOR e IN ['.ts', '.d.ts', '.mts', '.cts', '/index.ts', '/index.d.ts', '/index.mts', '/index.cts']]) AS candidate FROM relations WHERE NOT is_external", lambda v: v("relations").select("id", F.explode(imports.candidates(F.col("src_file_path"), F.col("specifier"))).alias("candidate")))
+_ENDS = "['.ts', '.d.ts', '/index.ts', '/index.d.ts', '.mts', '/index.mts', '.cts', '/index.cts']"
+simple("k16_candidates", f"SELECT id, i AS place, 'src/' || substr(specifier, 3) || {_ENDS}[i + 1] AS candidate FROM relations, range(8) u(i) WHERE NOT is_external", lambda v: v("relations").select("id", F.posexplode(imports.candidates(F.col("src_file_path"), F.col("specifier"))).alias("place", "candidate")).withColumn("place", F.col("place").cast("long")))
+# Files of every ending stand beside each other, so that the order of candidates decides.
+_CLASH = f"clash AS (SELECT DISTINCT 'src/n' || CAST(id % 60 AS STRING) || {_ENDS}[1 + CAST((id * 5 + CAST(floor(id / 60.0) AS BIGINT)) % 8 AS BIGINT)] AS p FROM symbols WHERE id % 3 <> 0)"
+simple("d12_candidate_order", f"WITH {_CLASH} SELECT r.id, arg_min(p, i) AS dst_file_path FROM relations r LEFT JOIN (SELECT p, i, e FROM clash, (SELECT i, {_ENDS}[i + 1] AS e FROM range(8) u(i))) c ON c.p = 'src/' || substr(r.specifier, 3) || c.e WHERE NOT r.is_external GROUP BY r.id", lambda v: imports.resolve_imports(v("relations").where("NOT is_external").select("id", "src_file_path", "specifier"), v("symbols").where("id % 3 <> 0").select(F.concat(F.lit("src/n"), (F.col("id") % 60).cast("string"), F.element_at(F.array(*[F.lit(e) for e in imports.ENDINGS]), (1 + (F.col("id") * 5 + F.floor(F.col("id") / 60)) % 8).cast("int"))).alias("file_path"))).select("id", "dst_file_path"))
+simple("a7_path_aliases", """WITH f AS (SELECT DISTINCT src_file_path AS p FROM relations) SELECT id, 'pkg/n' || CAST(id % 70 AS STRING) AS specifier, p AS dst_file_path, false AS is_unresolved, p IS NULL AS is_external
+    FROM relations LEFT JOIN f ON p = 'src/n' || CAST(id % 70 AS STRING) || '.ts'""", lambda v: imports.resolve_imports(v("relations").selectExpr("id", "src_file_path", "'pkg/n' || CAST(id % 70 AS STRING) AS specifier"), v("relations").select(F.col("src_file_path").alias("file_path")), [("pkg/x*", ["none/*"]), ("pkg/*", ["lib/*", "./src/*"]), ("*", ["other/*"])]).select("id", "specifier", "dst_file_path", "is_unresolved", "is_external"))
 simple("k17_bare_specifier", "SELECT id, NOT (specifier LIKE '.%' OR specifier LIKE '/%') AS bare FROM relations", lambda v: v("relations").select("id", imports.is_bare(F.col("specifier")).alias("bare")))
-simple("k3_line_column", "SELECT doc_id, CAST(len(string_split(substr(text, 1, 200), chr(10))) AS BIGINT) AS line, CAST(length(string_split(substr(text, 1, 200), chr(10))[-1]) AS BIGINT) AS col FROM documents", lambda v: v("documents_raw").select("doc_id", T.line_of(F.col("text"), F.lit(200)).cast("long").alias("line"), T.column_of(F.col("text"), F.lit(200)).cast("long").alias("col")))
+_AT = "CAST(floor(length(text) / 2.0) AS INT)"
+simple("k3_line_column", f"SELECT doc_id, CAST(len(string_split(substr(text, 1, {_AT}), chr(10))) AS BIGINT) AS line, CAST(length(string_split(substr(text, 1, {_AT}), chr(10))[-1]) AS BIGINT) AS col FROM documents", lambda v: v("documents_raw").withColumn("at", F.floor(F.length("text") / 2).cast("int")).select("doc_id", T.line_of(F.col("text"), F.col("at")).cast("long").alias("line"), T.column_of(F.col("text"), F.col("at")).cast("long").alias("col")))
+simple("k4_line_column_to_position", r"""WITH t AS (SELECT doc_id, replace(replace(text, chr(8232), chr(10)), chr(8233), chr(10)) AS text, 1 + doc_id % 7 AS line, doc_id % 50 AS col FROM documents),
+    l AS (SELECT *, regexp_extract_all(text, '[^\r\n]*(?:\r\n|\r|\n)') AS ended FROM t),
+    m AS (SELECT *, len(ended) + 1 AS n, coalesce(list_sum([length(x) FOR x IN ended[1 : line - 1]]), 0) AS p0, coalesce(list_sum([length(x) FOR x IN ended]), 0) AS whole FROM l)
+    SELECT doc_id, CAST(CASE WHEN line < n AND col < length(ended[line]) OR line = n AND col <= length(text) - whole THEN p0 + col ELSE -1 END AS BIGINT) AS position FROM m""", lambda v: v("documents_raw").select("doc_id", F.coalesce(T.line_column_to_position(F.col("text"), (1 + F.col("doc_id") % 7).cast("int"), (F.col("doc_id") % 50).cast("int")), F.lit(-1)).cast("long").alias("position")))
+simple("k4_find_name_position", r"""SELECT doc_id, CASE WHEN regexp_matches(rest, '(^|[^A-Za-z0-9_$])la([^A-Za-z0-9_$]|$)') THEN p0 + length(regexp_extract(rest, '^((?s:.)*?(?:^|[^A-Za-z0-9_$]))la(?:[^A-Za-z0-9_$]|$)', 1)) ELSE -1 END AS position
+    FROM (SELECT doc_id, p0, CASE WHEN p0 > 0 AND regexp_matches(substr(text, p0, 2), '^[A-Za-z0-9_$]{2}') THEN '_' || substr(text, p0 + 2) ELSE substr(text, p0 + 1) END AS rest FROM (SELECT doc_id, text, CAST(doc_id % 30 AS INT) AS p0 FROM documents))""", lambda v: v("documents_raw").select("doc_id", F.coalesce(T.find_name_position(F.col("text"), (F.col("doc_id") % 30).cast("int"), F.lit("la")), F.lit(-1)).cast("long").alias("position")))
 simple("k2_normalize_path", "SELECT id, replace(replace(file_path, '/', chr(92)), chr(92), '/') AS path FROM symbols", lambda v: v("symbols").select("id", T.normalize_path(F.replace("file_path", F.lit("/"), F.lit("\\"))).alias("path")))
 simple("k7_fingerprint", "SELECT id, fingerprint FROM symbols", lambda v: v("symbols").select("id", T.fingerprint_of(F.col("name"), F.col("kind"), F.col("signature")).alias("fingerprint")))
 simple("k6_signature", "SELECT id, CASE WHEN kind IN ('function', 'method') THEN 'params:2|async:' || CASE WHEN id % 2 = 1 THEN '1' ELSE '0' END END AS signature FROM symbols WHERE detail_json LIKE '{\"ret%'", lambda v: v("symbols").where("detail_json LIKE '{\"ret%'").select("id", T.signature_of(F.col("kind"), search.detail_of(F.col("detail_json"))["parameters"], F.col("id") % 2 == 1).alias("signature")))
 simple("k10_json_access", "SELECT id, json_extract_string(props, '$.k') AS k FROM (SELECT event_id AS id, props FROM events)", lambda v: v("events_raw").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").alias("k")))
 simple("k11_glob", "SELECT id FROM symbols WHERE regexp_matches(file_path, '^src/(?:brand_1|brand_2)/m[^/]\\.ts$')", lambda v: v("symbols").where(T.glob_match(F.col("file_path"), "src/{brand_1,brand_2}/m?.ts")).select("id"))
 simple("n10_lease_role", "SELECT id, CASE WHEN pid IS NULL OR NOT alive OR age_s >= 60 OR (pid = own_pid AND instance_id <> own_instance) THEN 'owner' ELSE 'reader' END AS role FROM leases", lambda v: v("leases").select("id", projects.lease_role(F.col("pid"), F.col("alive"), F.col("age_s"), F.col("instance_id"), F.col("own_pid"), F.col("own_instance")).alias("role")))
+simple("k8_structural_fingerprint", """SELECT id, md5(kind || '|' || CASE WHEN id % 2 = 0 THEN 'async,export' ELSE 'export' END || '|' || 'A' || CAST(id % 3 AS STRING) || ',B|' || CAST(id % 4 AS STRING) || '|' || coalesce(resolved_type, '') || '|') AS fingerprint FROM symbols""", lambda v: v("symbols").select("id", T.structural_fingerprint_of(F.col("kind"), F.when(F.col("id") % 2 == 0, F.array(F.lit("export"), F.lit("async"))).otherwise(F.array(F.lit("export"))), F.array(F.lit("B"), F.concat(F.lit("A"), (F.col("id") % 3).cast("string"))), (F.col("id") % 4).cast("int"), F.col("resolved_type"), F.lit(None).cast("array<string>")).alias("fingerprint")))
+simple("k18_metavariables", r"SELECT event_id AS id, upper(event_type) || ',ARGS,X_1' AS names FROM events", lambda v: v("events_raw").select(F.col("event_id").alias("id"), F.array_join(T.metavariables(F.concat(F.lit("f($"), F.upper("event_type"), F.lit(", $$$ARGS, a$b, $X_1)"))), ",").alias("names")))
+_OPS = "['=', '+=', '??=', '++', '>>>=', '&&=', '==', '--', '+']"
+simple("m2_write_kind", f"SELECT id, CASE WHEN d THEN 'declaration' WHEN op = '=' THEN 'assignment' WHEN op IN ('+=', '>>>=') THEN 'compound' WHEN op IN ('??=', '&&=') THEN 'logical' WHEN op IN ('++', '--') THEN 'update' END AS write_kind FROM (SELECT event_id AS id, event_id % 10 = 0 AS d, {_OPS}[1 + event_id % 9] AS op FROM events)", lambda v: v("events_raw").select(F.col("event_id").alias("id"), bindings.write_kind(F.element_at(F.array(*[F.lit(o) for o in ("=", "+=", "??=", "++", ">>>=", "&&=", "==", "--", "+")]), (1 + F.col("event_id") % 9).cast("int")), F.col("event_id") % 10 == 0).alias("write_kind")))

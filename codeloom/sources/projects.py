@@ -60,13 +60,27 @@ def detect_changes(scan: DataFrame, files: DataFrame) -> DataFrame:
     return new.join(old, keys, "full_outer").select(*keys, status.alias("status"))
 
 
-def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, ignore: list[str] | None = None) -> DataFrame:
-    """file_path (relative), mtime_ms, size, content of a tree's source files."""
+def _rows(found: DataFrame, root: str) -> DataFrame:
     base = root.rstrip("/").removeprefix("file://")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    rows = found.select(rel.alias("file_path"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size"), F.col("content").cast("string").alias("content"))
-    return rows.where(in_scope(F.col("file_path"), extensions, ignore))
+    return found.select(rel.alias("file_path"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.col("length").alias("size"), F.col("content").cast("string").alias("content"))
+
+
+def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, ignore: list[str] | None = None) -> DataFrame:
+    """file_path (relative), mtime_ms, size, content of a tree's source files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
+    return _rows(found, root).where(in_scope(F.col("file_path"), extensions, ignore))
+
+
+def read_files(spark: SparkSession, root: str, paths: list[str], extensions: tuple[str, ...] = EXTENSIONS, ignore: list[str] | None = None) -> DataFrame:
+    """The same for a few files by their relative paths; those that aren't there give no row. Nothing else is listed or read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    whole = [f"{root.rstrip('/')}/{p}" for p in paths]
+    there = [p for p in whole if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
+    if not there:
+        return spark.createDataFrame([], "file_path string, mtime_ms double, size long, content string")
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(there)
+    return _rows(found, root).where(in_scope(F.col("file_path"), extensions, ignore))
 
 
 def lease_role(pid: Column, alive: Column, age_s: Column, instance: Column, own_pid: Column, own_instance: Column, stale_s: int = 60) -> Column:

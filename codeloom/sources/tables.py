@@ -1,7 +1,8 @@
 """Written tables: lineage cuts, and versioned tables whose current version is named by a small manifest.
 
-A change writes whole new files for the tables it touches and then one manifest; readers
-take the version that the manifest names, so a failed write is never seen.
+A change writes whole new files for the tables it touches and then one manifest of the next
+number; readers take the manifest of the highest number, so a failed write is never seen and
+no manifest is ever replaced. The last few versions stay for readers that are under way.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.errors import LoomError
+
+KEPT = 3  # versions that stay readable
+
 
 @functools.cache
 def _own_folder() -> str:
@@ -22,9 +27,12 @@ def _own_folder() -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder of spark.checkpoint.dir (one of our own only where that is unset)."""
+    """``df`` as a Parquet table in the folder of spark.checkpoint.dir (one of our own only where that is unset and all runs in this process)."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise LoomError("store", "spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = (named or _own_folder()).rstrip("/")
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,16 +63,25 @@ class TableStore:
     def _fs(self):
         return self._path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
-        """Table name to folder; empty for a new store. A manifest that can't be read counts as none."""
-        fs, path = self._fs(), self._path(f"{self.folder}/manifest.json")
-        if not fs.exists(path):
-            return {}
-        text = "".join(r[0] for r in self.spark.read.text(f"{self.folder}/manifest.json").collect())
+    def _versions(self) -> list[int]:
+        """Numbers of the manifests, in order."""
+        fs, folder = self._fs(), self._path(f"{self.folder}/manifests")
+        if not fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _manifest(self, version: int) -> dict[str, str]:
+        text = "".join(r[0] for r in self.spark.read.text(f"{self.folder}/manifests/{version}.json").collect())
         try:
             return json.loads(text)
-        except ValueError:
-            return {}
+        except ValueError as e:
+            raise LoomError("store", f"manifest {version} of {self.folder} can't be read") from e
+
+    def manifest(self) -> dict[str, str]:
+        """Table name to folder; empty for a new store. A manifest that can't be read is an error, never an empty store."""
+        versions = self._versions()
+        return self._manifest(versions[-1]) if versions else {}
 
     def read(self, name: str, schema: str) -> DataFrame:
         at = self.manifest().get(name)
@@ -73,20 +90,32 @@ class TableStore:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{at}")
 
     def commit(self, tables: dict[str, DataFrame], partition_by: str | None = "project") -> None:
-        new = dict(self.manifest())
+        versions = self._versions()
+        new = self._manifest(versions[-1]) if versions else {}
         for name, df in tables.items():
             new[name] = f"{name}/{uuid.uuid4().hex}"
             writer = df.write.partitionBy(partition_by) if partition_by and partition_by in df.columns else df.write
             writer.parquet(f"{self.folder}/{new[name]}")
-        fs = self._fs()
-        temporary = self._path(f"{self.folder}/manifest-{uuid.uuid4().hex}.tmp")
+        fs, version = self._fs(), (versions[-1] if versions else 0) + 1
+        target, temporary = self._path(f"{self.folder}/manifests/{version}.json"), self._path(f"{self.folder}/manifests/{uuid.uuid4().hex}.tmp")
         stream = fs.create(temporary, True)
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()
-        target = self._path(f"{self.folder}/manifest.json")
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(temporary, target)
+        # A name that is taken means that another writer came first.
+        if fs.exists(target) or not fs.rename(temporary, target):
+            fs.delete(temporary, False)
+            raise LoomError("store", f"version {version} of {self.folder} was written by another session")
+        self._expire([*versions, version])
+
+    def _expire(self, versions: list[int]) -> None:
+        """Drops all versions but the last KEPT, and the tables that only they name."""
+        fs, old, kept = self._fs(), versions[:-KEPT], versions[-KEPT:]
+        if old:
+            used = {at for v in kept for at in self._manifest(v).values()}
+            for v in old:
+                for at in set(self._manifest(v).values()) - used:
+                    fs.delete(self._path(f"{self.folder}/{at}"), True)
+                fs.delete(self._path(f"{self.folder}/manifests/{v}.json"), False)
 
     def drop(self) -> None:
         self._fs().delete(self._path(self.folder), True)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import sqlite3
 
 import pytest
@@ -176,6 +177,8 @@ def test_graph_properties(spark, pairs):
     assert {(r.src, r.dst) for r in graph.closure(g).collect()} == reach
     cyclic = any(a == b for a, b in reach)
     assert graph.has_cycle(g) == cyclic
+    both = {(a, b) for a, b in reach if (b, a) in reach}
+    assert {r.node: r.component for r in graph.strong_components(g).collect()} == {a: min(d for c, d in both if c == a) for a, _ in both}
     cycles = [r.cycle for r in graph.circuits(g).collect()]
     assert bool(cycles) == cyclic
     edge = {(f"n{a}", f"n{b}") for a, b in pairs}
@@ -200,7 +203,7 @@ def test_globs_paths_imports_and_aliases(spark):
     for pattern, path, hit in (("src/*.ts", "src/a.ts", True), ("src/*.ts", "src/x/a.ts", False), ("**/a.ts", "a.ts", True), ("src/**/a.ts", "src/q/r/a.ts", True), ("x.{ts,js}", "x.js", True), ("[ab]?.ts", "b1.ts", True), ("a.ts", "aXts", False)):
         assert one.select(T.glob_match(F.lit(path), pattern)).first()[0] is hit, pattern
     at = lambda src, spec: one.select(imports.candidates(F.lit(src), F.lit(spec))).first()[0]
-    assert at("src/x/a.ts", "../b.js") == ["src/b.ts"] and at("a.ts", "./c.mts") == ["c.mts"] and at("a.ts", "pkg") == [] and at("s/a.ts", "./d")[4] == "s/d/index.ts"
+    assert at("src/x/a.ts", "../b.js") == ["src/b.ts"] and at("a.ts", "./c.mts") == ["c.mts"] and at("a.ts", "pkg") == [] and at("s/a.ts", "./d") == [f"s/d{e}" for e in (".ts", ".d.ts", "/index.ts", "/index.d.ts", ".mts", "/index.mts", ".cts", "/index.cts")]
     alias = one.select(imports.alias_candidates(F.lit("@lib/x/y"), [("@other/*", ["no/*"]), ("@lib/*", ["src/lib/*", "alt/*"])], ".")).first()[0]
     assert alias == ["src/lib/x/y", "alt/x/y"]
 
@@ -213,16 +216,162 @@ def test_projects_and_changes(spark, tmp_path):
     assert [r[0] for r in lease.select(role).collect()] == ["reader", "owner", "owner", "owner", "reader", "owner"]
 
 
-def test_store_survives_a_broken_manifest(spark, tmp_path):
-    store = tables.TableStore(spark, str(tmp_path / "t"))
-    assert store.read("files", "project string, n int").count() == 0
-    store.commit({"files": spark.createDataFrame([("p", 1), ("q", 2)], "project string, n int")})
-    store.commit({"files": tables.upsert(store.read("files", "project string, n int"), spark.createDataFrame([("q", 5)], "project string, n int"), ["project"])})
-    assert {tuple(r) for r in store.read("files", "project string, n int").select("project", "n").collect()} == {("p", 1), ("q", 5)}
-    (tmp_path / "t/manifest.json").write_text("{broken")
-    for f in (tmp_path / "t").glob(".*.crc"):
+def test_store_keeps_whole_versions(spark, tmp_path):
+    store, shape = tables.TableStore(spark, str(tmp_path / "t")), "project string, n int"
+    values = lambda: {tuple(r) for r in store.read("files", shape).select("project", "n").collect()}
+    assert store.read("files", shape).count() == 0 and store.manifest() == {}
+    store.commit({"files": spark.createDataFrame([("p", 1), ("q", 2)], shape)})
+    store.commit({"files": tables.upsert(store.read("files", shape), spark.createDataFrame([("q", 5)], shape), ["project"])})
+    assert values() == {("p", 1), ("q", 5)}
+    # A writer that dies before its manifest is in place leaves the version before.
+    (tmp_path / "t/manifests/half.tmp").write_text('{"files": "nowhere"')
+    with pytest.raises(ZeroDivisionError):
+        store.commit({"files": spark.range(1).select(F.lit("x").alias("project"), F.lit(1).alias("n")), "other": _Dies()})
+    assert values() == {("p", 1), ("q", 5)}
+    for n in range(4):
+        store.commit({"files": spark.createDataFrame([("v", n)], shape)})
+    assert values() == {("v", 3)} and len(store._versions()) == tables.KEPT
+    assert len(list((tmp_path / "t/files").iterdir())) == tables.KEPT + 1  # and the one of the run that died
+    (tmp_path / f"t/manifests/{store._versions()[-1]}.json").write_text("{broken")
+    for f in (tmp_path / "t/manifests").glob(".*.crc"):
         f.unlink()
-    assert store.manifest() == {}
+    with pytest.raises(LoomError):
+        store.manifest()
+
+
+class _Dies:
+    columns = ()
+
+    @property
+    def write(self):
+        raise ZeroDivisionError
+
+
+def test_aliases_resolve_from_end_to_end(spark, tmp_path):
+    write(tmp_path / "app", {"tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@app/*": ["gen/*", "src/*"], "exact": ["src/one.ts"]}}}', "src/one.ts": "export const one = 1;", "src/lib/index.ts": "export class Lib { run(): void {} }", "src/use.ts": "import { Lib } from '@app/lib';\nimport { one } from 'exact';\nimport x from 'other';\nexport const y = new Lib();"})
+    e = Loom.open(spark, str(tmp_path / "app"), str(tmp_path / "store"))
+    rel = {(r.type, r.specifier, r.dst_file_path, r.is_external) for r in e.relations.where("src_file_path = 'src/use.ts'").collect()}
+    assert {("imports", "@app/lib", "src/lib/index.ts", False), ("imports", "exact", "src/one.ts", False), ("imports", "other", None, True), ("calls", "@app/lib", "src/lib/index.ts", False)} <= rel
+    assert names(e.affected(["src/lib/index.ts"]), "node") == {"src/use.ts"}
+    # The rule changes: an event reads it anew.
+    (tmp_path / "app/tsconfig.json").write_text('{"compilerOptions": {"paths": {"@app/*": ["none/*"]}}}')
+    e.apply_events([("change", "src/use.ts")])
+    assert {r.dst_file_path for r in e.relations.where("type = 'imports' and specifier = '@app/lib'").collect()} == {None}
+    assert e.line_column_to_position("src/use.ts", 2, 9) == 41 and e.line_column_to_position("src/use.ts", 9, 0) is None
+    assert e.find_name_position("src/use.ts", 0, "Lib") == 9 and e.find_name_position("src/use.ts", 10, "Lib") == 105 and e.find_name_position("no.ts", 0, "x") is None
+    e.close()
+
+
+def test_one_owner_at_a_time(spark, tmp_path):
+    write(tmp_path / "app", {"a.ts": "export const a = 1;"})
+    first = Loom.open(spark, str(tmp_path / "app"), str(tmp_path / "store"))
+    told = []
+    first.on("role", told.append)
+    assert first.role == "owner" and first.poll() == "owner"
+    lease = first.lease.path
+    taken = json.loads(lease.read_text()) | {"pid": 1, "instance": "another"}
+    lease.write_text(json.dumps(taken | {"heartbeat": 9e12}))
+    assert first.poll() == "reader" and told == ["reader"]
+    with pytest.raises(LoomError):
+        first.reindex()
+    second = Loom.open(spark, str(tmp_path / "app"), str(tmp_path / "store"))
+    assert second.role == "reader" and names(second.files, "file_path") == {"a.ts"}
+    lease.write_text(json.dumps(taken | {"heartbeat": 1}))
+    assert first.poll() == "owner" and told == ["reader", "owner"]
+    first.close()
+    assert second.poll() == "owner"
+    second.close()
+
+
+def test_moves_only_in_runs_of_events(spark, tmp_path):
+    root = tmp_path / "app"
+    write(root, {"a.ts": "export function carried(x: number) { return x; }", "user.ts": "import { carried } from './a';\ncarried(1);", "twin.ts": "export const q = 1;"})
+    e = Loom.open(spark, str(root), str(tmp_path / "store"))
+    (root / "a.ts").unlink()
+    write(root, {"b.ts": "export function carried(x: number) { return x; }"})
+    out = e.apply_events([("delete", "a.ts"), ("create", "b.ts")])
+    assert out["changes"] == {"moved": 1}
+    # A second symbol of the same fingerprint stands in a file that no event touches: not the only one, so no move.
+    write(root, {"twin.ts": "export function carried(x: number) { return x; }"})
+    e.apply_events([("change", "twin.ts")])
+    (root / "b.ts").unlink()
+    write(root, {"c.ts": "export function carried(x: number) { return x; }"})
+    assert e.apply_events([("delete", "b.ts"), ("create", "c.ts")])["changes"] == {"added": 1, "removed": 1}
+    # A full run of the same kind.
+    (root / "c.ts").unlink()
+    (root / "twin.ts").unlink()
+    write(root, {"d.ts": "export function carried(x: number) { return x; }"})
+    assert "moved" not in e.reindex()["changes"]
+    e.close()
+
+
+def test_annotations_link_to_members():
+    s = Source("f.ts", "export class A {\n  /** @deprecated no */\n  m(): void {}\n\n\n\n  // @todo later\n  n(): void {}\n}\n// @x far\n\n\n\n\nclass B {}\n")
+    assert [(a["tag"], a["symbol_name"]) for a in s.annotations()] == [("deprecated", "A.m"), ("todo", "A.n"), ("x", None)]
+
+
+def test_resolving_stops_where_the_way_ends(spark):
+    shape = "id long, project string, type string, src_file_path string, dst_file_path string, meta_json string"
+    meta = lambda local, exported: json.dumps({"specifiers": [{"local": local, "exported": exported}]})
+    rows = [
+        (1, "p", "re-exports", "a.ts", None, meta("x", "x")), (2, "p", "re-exports", "a.ts", "b.ts", meta("x", "x")), (3, "p", "re-exports", "i.ts", "a.ts", meta("x", "y")),
+        (4, "p", "re-exports", "l.ts", "m.ts", meta("u", "u")), (5, "p", "re-exports", "m.ts", "l.ts", meta("u", "u")), (6, "q", "re-exports", "z.ts", "a.ts", meta("x", "x")), (7, "p", "re-exports", "e.ts", "a.ts", meta("", "w")),
+    ]
+    rel = spark.createDataFrame(rows, shape)
+    want = spark.createDataFrame([("y", "i.ts"), ("u", "l.ts"), ("x", "z.ts"), ("w", "e.ts")], "name string, file_path string")
+    got = {r.name + "@" + r.file_path: (r.original_name, r.original_file, [tuple(c) for c in r.chain], r.circular) for r in graph.resolve_symbols(rel, want, "p").collect()}
+    assert got == {
+        "y@i.ts": ("x", "a.ts", [("i.ts", "y")], False), "u@l.ts": ("u", "l.ts", [("l.ts", "u"), ("m.ts", "u")], True),
+        "x@z.ts": ("x", "z.ts", [], False), "w@e.ts": ("w", "e.ts", [], False),
+    }
+
+
+def test_full_text_folds_as_sqlite_does(spark):
+    words = ["žlutý", "ŽLUTÝ kůň", "straße", "Ångström", "ñandú", "çà", "ΣΑΣ", "σας", "й", "и", "e\u0301tude", "étude", "x\u0305y", "ǖ", "日本語", "İstanbul", "naïve_value", "ﬁn"]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(name)")
+    db.executemany("insert into f(rowid, name) values (?, ?)", list(enumerate(words, 1)))
+    df = spark.createDataFrame(list(enumerate(words, 1)), "id long, name string").cache()
+    for q in [*words, "zluty", "kun", "angstrom", "nandu", "ca", "etude", "naive value", "ž", "istanbul"]:
+        match = " ".join('"' + t.replace('"', '""') + '"*' for t in q.split())
+        want = {r[0] for r in db.execute("select rowid from f where f match ?", (match,))}
+        assert names(df.where(T.fts_match([F.col("name")], q)), "id") == want, q
+
+
+def test_positions_against_a_plain_reading(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "la", " ", "$", "é", "\n", "\r\n", "\r", "\u2028", "la_", ".la"]) for _ in range(rng.randint(0, 14))) for _ in range(120)]
+    ends = re.compile("\r\n|[\n\r\u2028\u2029]")
+    rows = [(t, rng.randint(0, 6), rng.randint(-1, 5), rng.randint(0, 12)) for t in texts]
+    got = spark.createDataFrame(rows, "t string, line int, col int, at int").select("*", T.line_column_to_position(F.col("t"), F.col("line"), F.col("col")).alias("p"), T.find_name_position(F.col("t"), F.col("at"), F.lit("la")).alias("n")).collect()
+    for r in got:
+        starts = [0, *(m.end() for m in ends.finditer(r.t))]
+        want = None
+        if 1 <= r.line <= len(starts) and r.col >= 0:
+            at = starts[r.line - 1] + r.col
+            want = at if (at < starts[r.line] if r.line < len(starts) else at <= len(r.t)) else None
+        assert r.p == want, r
+        found = next((m.start() for m in re.finditer(r"(?<![A-Za-z0-9_$])la(?![A-Za-z0-9_$])", r.t) if m.start() >= r.at), None)
+        assert r.n == found, r
+
+
+def test_renames_against_plain_greedy_matching(spark):
+    rng = random.Random(9)
+    shape = "id long, project string, file_path string, name string, kind string, fingerprint string, structural_fingerprint string, start_line int, is_exported boolean, signature string"
+    side = lambda name: [(i, "p", f"f{rng.randint(0, 2)}.ts", f"{name}{i}", "function", f"{name}{i}", rng.choice(["s", "t", None]), rng.randint(1, 40), True, None) for i in range(40)]
+    old, new = side("old"), side("new")
+    want = set()
+    for group in {(r[2], r[6]) for r in old if r[6]}:
+        a = sorted((r[7], r[3], r[0]) for r in old if (r[2], r[6]) == group)
+        b = sorted((r[7], r[3], r[0]) for r in new if (r[2], r[6]) == group)
+        pairs = sorted((abs(x[0] - y[0]), i, j) for i, x in enumerate(a) for j, y in enumerate(b))
+        left, right = set(), set()
+        for _, i, j in pairs:
+            if i not in left and j not in right:
+                left.add(i)
+                right.add(j)
+                want.add((group[0], a[i][1], b[j][1]))
+    assert {(r.file_path, r.old_name, r.new_name) for r in diff.renames(spark.createDataFrame(new, shape), spark.createDataFrame(old, shape)).collect()} == want
 
 
 def test_comments_merge_and_link(spark):
