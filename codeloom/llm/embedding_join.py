@@ -8,7 +8,12 @@ eps is skipped with all that it holds. What is left is a list of block pairs, ea
 by matrix products in one task, after the same recursion over the blocks' own parts.
 
 The axes only steer what is skipped: they may come from a bounded sample, and every vector
-is compared in its own coordinates, in double precision.
+is compared in its own coordinates, in double precision. Vectors of single-precision numbers
+are exchanged as such, which loses nothing.
+
+How much is skipped depends on the data. Boxes of vectors that spread alike over many
+dimensions all lie within eps of each other, so every two blocks meet; blocks are as large as
+memory allows, so that each vector is then sent to as few others as can be.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql.window import Window
 from codeloom.llm.components import connected_components
 from codeloom.llm.scratch import cut, small_or_not
 
-BLOCK, LEAF, FANOUT = 2048, 128, 8
+BLOCK_BYTES, LEAF, FANOUT = 2 << 20, 128, 8
 CELL_DIMS, BOX_DIMS = 6, 16
 SMALL_ROWS = 500_000
 
@@ -45,6 +50,11 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _number(vectors: DataFrame) -> str:
+    """float or double: the kind of the numbers of column v."""
+    return dict(vectors.dtypes)["v"][6:-1]
+
+
 def _ordered(vectors: DataFrame, dims: int, axes: np.ndarray, eps: float) -> DataFrame:
     """key, m, v, cells for vectors of ``dims`` numbers: cells of the leading axes, to sort by."""
     shared = vectors.sparkSession.sparkContext.broadcast(axes[:, :CELL_DIMS])
@@ -61,11 +71,13 @@ def _ordered(vectors: DataFrame, dims: int, axes: np.ndarray, eps: float) -> Dat
                 names=["key", "m", "v", "cells", "y"],
             )
 
-    return vectors.where(F.size("v") == dims).mapInArrow(cells, "key long, m long, v array<double>, cells array<int>, y double")
+    return vectors.where(F.size("v") == dims).mapInArrow(cells, f"key long, m long, v array<{_number(vectors)}>, cells array<int>, y double")
 
 
 def _blocks(ordered: DataFrame, dims: int, axes: np.ndarray) -> DataFrame:
-    """Runs of BLOCK vectors of the sorted sequence, each one row: part, chunk, keys, counts, vectors (bytes), low, high (box)."""
+    """Runs of vectors of the sorted sequence, of BLOCK_BYTES together, each one row: part, chunk, keys, counts, vectors (bytes), low, high (box)."""
+    kind = "<f4" if _number(ordered) == "float" else "<f8"
+    size = max(LEAF, BLOCK_BYTES // (dims * int(kind[-1])))
     shared = ordered.sparkSession.sparkContext.broadcast(axes[:, :BOX_DIMS])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +88,9 @@ def _blocks(ordered: DataFrame, dims: int, axes: np.ndarray) -> DataFrame:
             keys, m, v = (np.concatenate(x) for x in zip(*held, strict=True))
             held[:] = [(keys[k:], m[k:], v[k:])] if k < len(keys) else []
             keys, m, v = keys[:k], m[:k], v[:k]
-            y = _unit(v) @ shared.value
+            y = _unit(v.astype(np.float64)) @ shared.value
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([keys.astype("<i8").tobytes()]), pa.array([m.astype("<i8").tobytes()]), pa.array([v.astype("<f8").tobytes()]),
+                [pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([keys.astype("<i8").tobytes()]), pa.array([m.astype("<i8").tobytes()]), pa.array([v.astype(kind).tobytes()]),
                  pa.array([y.min(axis=0)], pa.list_(pa.float64())), pa.array([y.max(axis=0)], pa.list_(pa.float64()))],
                 names=["part", "chunk", "keys", "counts", "vectors", "low", "high"],
             )
@@ -87,11 +99,11 @@ def _blocks(ordered: DataFrame, dims: int, axes: np.ndarray) -> DataFrame:
             if batch.num_rows:
                 v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, dims)
                 held.append((batch.column("key").to_numpy(), batch.column("m").to_numpy(), v))
-            while sum(len(h[0]) for h in held) >= BLOCK:
-                yield row(BLOCK)
+            while sum(len(h[0]) for h in held) >= size:
+                yield row(size)
                 chunk += 1
         if held and sum(len(h[0]) for h in held):
-            yield row(BLOCK)
+            yield row(size)
 
     dealt = ordered.repartitionByRange("cells", "y", "key").sortWithinPartitions("cells", "y", "key").select("key", "m", "v")
     made = cut(dealt.mapInArrow(runs, "part int, chunk long, keys binary, counts binary, vectors binary, low array<double>, high array<double>"), "blocks")
@@ -157,7 +169,7 @@ def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
-def _join_blocks(pairs: DataFrame, blocks: DataFrame, dims: int, axes: np.ndarray, cosine: float) -> DataFrame:
+def _join_blocks(pairs: DataFrame, blocks: DataFrame, dims: int, axes: np.ndarray, cosine: float, kind: str) -> DataFrame:
     """For each block pair: key, n (linked vectors of the other block, by their counts), root (a key for each part that the links join)."""
     shared = blocks.sparkSession.sparkContext.broadcast(axes[:, :BOX_DIMS])
     eps2 = (2 - 2 * cosine) * (1 + 1e-9)
@@ -170,7 +182,7 @@ def _join_blocks(pairs: DataFrame, blocks: DataFrame, dims: int, axes: np.ndarra
         same = row["a"] == row["b"]
         ka, kb = (np.frombuffer(row[k], "<i8") for k in ("keys_a", "keys_b"))
         ma, mb = (np.frombuffer(row[k], "<i8") for k in ("counts_a", "counts_b"))
-        va, vb = (np.frombuffer(row[k], "<f8").reshape(-1, dims) for k in ("vectors_a", "vectors_b"))
+        va, vb = (np.frombuffer(row[k], kind).astype(np.float64).reshape(-1, dims) for k in ("vectors_a", "vectors_b"))
         xa, xb = _unit(va), _unit(vb)
         la, ha = boxes(xa @ shared.value)
         lb, hb = boxes(xb @ shared.value)
@@ -226,9 +238,11 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", vector: str
     different lengths. A null key gets no links and a null component. An empty table gives
     no rows.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(kind).alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = rows.where(F.col("key").isNotNull() & F.coalesce(sound, F.lit(False)))
+    is_good = F.col("key").isNotNull() & F.coalesce(sound, F.lit(False))
+    good = rows.where(is_good)
     classes = cut(good.groupBy("v").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("m")), "classes")
     eps = float(np.sqrt(2 - 2 * cosine))
     found: DataFrame | None = None
@@ -237,7 +251,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", vector: str
         boxed = np.zeros((dims, max(BOX_DIMS, dims)))
         boxed[:, :dims] = axes  # vectors of fewer numbers than a box has get zeros
         blocks = _blocks(_ordered(classes, dims, axes, eps), dims, boxed)
-        part = _join_blocks(_block_pairs(blocks, eps), blocks, dims, boxed, cosine)
+        part = _join_blocks(_block_pairs(blocks, eps), blocks, dims, boxed, cosine, "<f4" if _number(classes) == "float" else "<f8")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.col("key").isNotNull().alias("kept"))
@@ -246,8 +260,10 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", vector: str
     sums = links.groupBy("key").agg(F.sum("n").alias("n"))
     of_class = classes.join(sums, "key", "left").join(component, "key", "left")
     of_class = cut(of_class.select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "key").alias("component_id")), "classes")
-    out = rows.withColumn("v", F.when(F.col("key").isNotNull() & F.coalesce(sound, F.lit(False)), F.col("v"))).join(of_class, "v", "left")
-    return out.select(
-        F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "key").alias("component_id"), F.coalesce(F.col("key") == F.coalesce("component_id", "key"), F.lit(False)).alias("kept"),
+    # Rows that can't link are set aside, as they would all be of one null key in the join.
+    linked = good.join(of_class, "v").select("key", "n_links", "component_id")
+    alone = rows.where(~is_good).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    return linked.unionByName(alone).select(
+        F.col("key").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id",
+        F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
