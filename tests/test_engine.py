@@ -4,6 +4,7 @@ import json
 import random
 import re
 import sqlite3
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -383,3 +384,22 @@ def test_a_long_chain(spark):
     n = 24
     g = spark.createDataFrame([(f"f{i:03}", f"f{i + 1:03}") for i in range(n)], "src string, dst string")
     assert graph.closure(g).count() == n * (n + 1) // 2 and not graph.has_cycle(g)
+
+
+def test_innermost_node_against_brute_force(spark):
+    rng = random.Random(8)
+    nodes = [(i, rng.randint(0, 1), s := rng.randint(-40, 60), s + rng.choice([-1, 0, 1, 2, 3, 17, 64, 130])) for i in range(300)] + [(900, 0, None, 5), (901, None, 0, 50)]
+    offsets = [(i, rng.randint(0, 2), rng.randint(-60, 220)) for i in range(400)] + [(900, None, 3), (901, 1, None)]
+    want = {i: min(a)[1] for i, f, at in offsets if None not in (f, at) and (a := [(e - s, n) for n, g, s, e in nodes if None not in (g, s) and f == g and s <= at < e])}
+    nodes, offsets = spark.createDataFrame(nodes, "id long, file_id long, start_at int, end_at int"), spark.createDataFrame(offsets, "id long, file_id long, at int")
+    assert {r.id: r.node_id for r in places.innermost_node(offsets, nodes).collect()} == want
+    assert places.innermost_node(offsets, nodes.limit(0)).count() == 0 and places.innermost_node(offsets.limit(0), nodes).count() == 0
+
+
+def test_innermost_node_does_not_meet_every_node_around(spark):
+    n = 60_000  # the pairs of an offset and a node around it are 1.8 billion
+    nodes = spark.range(n).selectExpr("id", "0L as file_id", "cast(id as int) as start_at", "cast(2 * %d - id as int) as end_at" % n)
+    offsets = spark.range(n).selectExpr("id", "0L as file_id", "cast(id as int) as at")
+    began = time.perf_counter()
+    assert places.innermost_node(offsets, nodes).where("id = node_id").count() == n
+    assert time.perf_counter() - began < 60
