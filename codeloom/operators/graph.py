@@ -7,13 +7,20 @@ one round at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from codeloom import schema
 from codeloom.sources.tables import cut
 
+SMALL_EDGES, SMALL_BYTES = 1_000_000, 128 << 20  # a graph that one task takes in whole
+
 
 def edges(relations: DataFrame, projects: list[str] | None = None) -> DataFrame:
     """Distinct src, dst of imports, type references and re-exports; rows without a target drop out. No projects: all."""
@@ -100,14 +107,83 @@ def has_cycle(graph: DataFrame) -> bool:
     return not cyclic_core(graph).isEmpty()
 
 
+def _components_of(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the least node of its strong component, -1 outside any cycle (Tarjan, without recursion)."""
+    order = np.argsort(src, kind="stable")
+    targets, starts = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    at, met, low, of, stack, count = starts[:-1], [0] * n, [0] * n, [-1] * n, [], 0
+    for root in range(n):
+        way = [] if met[root] else [root]
+        while way:
+            v = way[-1]
+            if not met[v]:
+                count += 1
+                met[v] = low[v] = count
+                stack.append(v)
+            i, end, deeper = at[v], starts[v + 1], False
+            while i < end and not deeper:
+                w = targets[i]
+                i += 1
+                if not met[w]:
+                    way.append(w)
+                    deeper = True
+                elif of[w] < 0 and met[w] < low[v]:
+                    low[v] = met[w]
+            at[v] = i
+            if deeper:
+                continue
+            way.pop()
+            if way and low[v] < low[way[-1]]:
+                low[way[-1]] = low[v]
+            if low[v] == met[v]:
+                members = [stack.pop()]
+                while members[-1] != v:
+                    members.append(stack.pop())
+                least = min(members)
+                for w in members:
+                    of[w] = least
+    out = np.array(of, np.int64)
+    cyclic = (np.bincount(out, minlength=n) > 1)[out]
+    cyclic[src[src == dst]] = True  # a node alone lies on a cycle only by an edge to itself
+    return np.where(cyclic, out, -1)
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component of all the edges (src, dst) of a partition."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    edges_ = pa.Table.from_batches(got)
+    both = pa.chunked_array(edges_["src"].chunks + edges_["dst"].chunks).combine_chunks().dictionary_encode()
+    values = both.dictionary.to_pylist()
+    names = sorted(values)
+    rank = {x: i for i, x in enumerate(names)}
+    ids = np.array([rank[x] for x in values], np.int64)[both.indices.to_numpy(zero_copy_only=False)]
+    component = _components_of(ids[: len(edges_)], ids[len(edges_) :], len(names))
+    nodes = np.flatnonzero(component >= 0)
+    out, kind = pa.array(names, both.dictionary.type), both.dictionary.type
+    for k in range(0, len(nodes), 10_000):
+        some = nodes[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([out.take(pa.array(some)).cast(kind), out.take(pa.array(component[some])).cast(kind)], names=["node", "component"])
+
+
 def strong_components(graph: DataFrame) -> DataFrame:
     """node, component (its least node) for nodes on cycles.
 
-    Nodes outside any cycle are peeled off first. Then, again and again, each node takes the
-    least node that leads to it as its colour; within a colour, all that leads back to the
-    colour's own node is one component, and goes. Every round settles a component for each
-    colour, and its tables are as large as the graph that is left, never as its pairs.
+    A graph of up to SMALL_EDGES edges and SMALL_BYTES bytes of names is one task's, in a walk over
+    its edges. In a larger one nodes outside any cycle are peeled off first. Then, again and
+    again, each node takes the least node that leads to it as its colour; within a colour, all that
+    leads back to the colour's own node is one component, and goes. Every round settles a component
+    for each colour, and its tables are as large as the graph that is left, never as its pairs; a
+    long chain of components takes many rounds.
     """
+    graph = cut(graph.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    size = F.octet_length(F.col("src").cast("string")) + F.octet_length(F.col("dst").cast("string"))
+    n, n_bytes = graph.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    if n <= SMALL_EDGES and n_bytes <= SMALL_BYTES:
+        kind = graph.schema["src"].dataType
+        shape = StructType([StructField("node", kind), StructField("component", kind)])
+        return cut(graph.coalesce(1).mapInArrow(_solved, shape), "components")
     live, done = cyclic_core(graph), None
     while not live.isEmpty():
         nodes = live.select(F.col("src").alias("node")).distinct()

@@ -403,3 +403,19 @@ def test_innermost_node_does_not_meet_every_node_around(spark):
     began = time.perf_counter()
     assert places.innermost_node(offsets, nodes).where("id = node_id").count() == n
     assert time.perf_counter() - began < 60
+
+
+def test_strong_components_of_a_long_chain_of_rings(spark, monkeypatch):
+    # The least node leads to all rings, so settling a component for each colour takes a round a ring.
+    rings = [(f"n{i:03}{x}", f"n{i:03}{y}") for i in range(40) for x, y in ("ab", "bc", "ca")]
+    steps = [(f"n{i:03}c", f"n{i + 1:03}a") for i in range(39)] + [("m", "n000a"), ("x", "x"), ("n039b", "z"), (None, "n000a"), ("n000a", None)]
+    g = spark.createDataFrame(rings + steps, "src string, dst string").cache()
+    want = {a: f"{a[:4]}a" for a, _ in rings} | {"x": "x"}
+    written, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
+    assert {r.node: r.component for r in graph.strong_components(g).collect()} == want
+    assert len(written) < 10
+    few = g.where("src < 'n003' or src = 'x'").selectExpr("src", "dst")
+    monkeypatch.setattr(graph, "SMALL_EDGES", 0)  # the way of large graphs
+    assert {r.node: r.component for r in graph.strong_components(few).collect()} == {a: c for a, c in want.items() if a < "n003" or a == "x"}
+    assert graph.strong_components(g.limit(0)).count() == 0
