@@ -419,3 +419,15 @@ def test_strong_components_of_a_long_chain_of_rings(spark, monkeypatch):
     monkeypatch.setattr(graph, "SMALL_EDGES", 0)  # the way of large graphs
     assert {r.node: r.component for r in graph.strong_components(few).collect()} == {a: c for a, c in want.items() if a < "n003" or a == "x"}
     assert graph.strong_components(g.limit(0)).count() == 0
+
+
+def _chained_rings(spark, n):
+    rings = [(f"n{i:03}{x}", f"n{i:03}{y}") for i in range(n) for x, y in ("ab", "bc", "ca")]
+    return spark.createDataFrame(rings + [(f"n{i:03}c", f"n{i + 1:03}a") for i in range(n - 1)], "src string, dst string")
+
+
+def test_circuits_of_a_long_chain_of_rings_take_few_rounds(spark, monkeypatch):
+    written, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
+    assert ["::".join(r.cycle) for r in graph.circuits(_chained_rings(spark, 40)).collect()] == [f"n{i:03}a::n{i:03}b::n{i:03}c" for i in range(40)]
+    assert len(written) < 20
