@@ -431,3 +431,10 @@ def test_circuits_of_a_long_chain_of_rings_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
     assert ["::".join(r.cycle) for r in graph.circuits(_chained_rings(spark, 40)).collect()] == [f"n{i:03}a::n{i:03}b::n{i:03}c" for i in range(40)]
     assert len(written) < 20
+
+
+def test_max_cycles_of_a_long_chain_of_rings_takes_the_first_in_order(spark, monkeypatch):
+    written, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
+    assert ["::".join(r.cycle) for r in graph.circuits(_chained_rings(spark, 40), 5).collect()] == [f"n{i:03}a::n{i:03}b::n{i:03}c" for i in range(5)]
+    assert len(written) < 20
