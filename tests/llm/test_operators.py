@@ -103,6 +103,31 @@ def test_language_scores_equal_the_plain_kernel():
     assert np.allclose(scores, np.clip((best.max(axis=1) + 1) / 2, 0, 1), atol=1e-4)
 
 
+def test_language_model_learns_from_every_row(spark):
+    rng = random.Random(32)
+    kinds = {"aa": ["tion", "the", "ing"], "bb": ["eau", "que", "oux"]}
+    rows = [(i, " ".join("".join(rng.choices(kinds[k], k=3)) for _ in range(20)), k) for i in range(1500) for k in [rng.choice(list(kinds))]]
+    rows += [(2000 + i, "жук " * 5 + "".join(rng.choices("бвгд", k=4)), "bb") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = np.zeros(1 << language_id.BITS, bool)
+    bits = [language_id.ngram_bits(t, seen) for _, t, _ in rows]
+    labels = [x for _, _, x in rows]
+    model = language_id.fit_language_model(df, landmarks=8, counted=True)
+    # The same landmarks, with all rows' equations and counts in one place.
+    counts = {x: labels.count(x) for x in kinds}
+    marks = language_id.landmark_rows(df.selectExpr("cast(doc_id as string) as key", "lang"), "lang", "key", counts, 4).collect()
+    marks = sorted((r.key, r.lang) for r in marks)
+    by_key = {str(i): b for (i, _, _), b in zip(rows, bits, strict=True)}
+    basis = language_id.Basis(language_id.chosen([by_key[k] for k, _ in marks], [x for _, x in marks], sorted(kinds), 8))
+    want = language_id.KernelModel.solved(basis, basis.equations(bits, labels, sorted(kinds), language_id.weights(counts)), sorted(kinds), len(rows))
+    assert np.allclose(model.rows, want.rows, atol=1e-5) and np.allclose(model.bias, want.bias)
+    often = np.zeros(1 << language_id.BITS, bool)
+    for name in kinds:
+        set_by = np.bincount(np.concatenate([b for b, x in zip(bits, labels, strict=True) if x == name]), minlength=1 << language_id.BITS)
+        often |= set_by * 4 >= counts[name]
+    assert (model.known == often).all()
+
+
 def test_packing_is_gapless_and_near_the_bound(spark):
     rng = random.Random(2)
     texts = ODD + [prose(rng, rng.choice([3, 40, 300, 900, 1500, 3000])) for _ in range(60)] + ["same text"] * 20
