@@ -10,8 +10,9 @@ linked. Only pairs that agree in half of their minima are compared at all, which
 similarity 0.8 do that share a bucket. In buckets that still hold several components, all pairs of different components are
 compared if the bucket is small. A large one is cut into smaller ones by further minima, again and
 again, each with its leader, until they are small or agree in all minima; and its components are
-compared with several lines chosen by hash, so that work grows with the lines and not with the
-square of a bucket. Pairs are verified by the Jaccard similarity of all their shingles (told apart
+compared with several lines chosen by hash. That joins most of what is alike. What then still
+stands apart in a large bucket is compared in whole: all lines outside the bucket's largest
+component with all lines of other components. Pairs are verified by the Jaccard similarity of all their shingles (told apart
 by 64-bit hashes), and union-find over the verified pairs gives components, of which the first
 line in document order is kept.
 
@@ -32,7 +33,7 @@ SHINGLE, MINIMA, PERCENT = 8, 12, 80
 BANDS, WIDTHS = 6, (2, 4, 7, 12)  # a bucket's minima at first, and as it is cut further
 LONG, FIRST = 160, 16
 AGREE = 6
-SMALL_BUCKET, DRAWS = 32, 3
+SMALL_BUCKET, DRAWS, DEALT = 32, 3, 1024
 SMALL_ROWS = 2_000_000  # what may be broadcast, within the bytes that small_or_not allows
 _WORDS = 4  # hashes of a shingle; each gives minima under orders that differ in their first bits
 _HAS = r"[\p{L}\p{N}]"
@@ -148,6 +149,24 @@ def mixed_pairs(meeting: DataFrame, component: DataFrame, known: DataFrame) -> D
     return found.distinct().join(known, ["a", "b"], "left_anti")
 
 
+def rest_pairs(meeting: DataFrame, component: DataFrame, known: DataFrame) -> DataFrame:
+    """a < b: all pairs of different components that agree, in each bucket that ``mixed_pairs`` took as large, without those in ``known``.
+
+    One line of a pair is outside the bucket's largest component, so that such lines meet all others; these are dealt by hash, and
+    a bucket's work is shared out.
+    """
+    labelled = meeting.where(F.col("size") > SMALL_BUCKET // 2).select("id", "m", "bucket").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
+    labelled = cut(labelled.select("id", "m", "bucket", F.coalesce("component", "id").alias("component")), "labelled")
+    counts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_c"))
+    of = counts.groupBy("bucket").agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"), F.max(F.struct("_c", "component"))["component"].alias("_top"))
+    mixed = cut(of.where((F.col("_n") > SMALL_BUCKET) & (F.col("_k") > 1)).select("bucket", "_top", F.ceil(F.col("_n") / DEALT).cast("int").alias("_parts")), "mixed")
+    inside = cut(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket"), "inside")
+    apart = inside.where(F.col("component") != F.col("_top")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("m").alias("_ma"))
+    others = inside.select("bucket", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("m").alias("_mb"), (F.col("component") == F.col("_top")).alias("_in_top"))
+    met = apart.join(others, ["bucket", "_p"]).where((F.col("_ca") != F.col("_cb")) & (F.col("_in_top") | (F.col("_a") < F.col("_b"))) & agree("_ma", "_mb"))
+    return met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+
+
 def verified(pairs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs`` (a written table) whose lines' shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -176,7 +195,11 @@ def duplicate_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     component = connected_components(links)
     more = cut(mixed_pairs(meeting, component, pairs), "more")
     if not more.isEmpty():
-        component = connected_components(links.unionByName(verified(more, lines)))
+        links = cut(links.unionByName(verified(more, lines)), "links")
+        component = connected_components(links)
+    rest = cut(rest_pairs(meeting, component, pairs.unionByName(more)), "rest")
+    if not rest.isEmpty():
+        component = connected_components(links.unionByName(verified(rest, lines)))
     # Lines that stand once and have no like line need no decision.
     counted = places.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
     groups = counted.join(component.withColumnRenamed("node", "id"), "id", "left").where("_n > 1 or component is not null")

@@ -551,6 +551,16 @@ def test_line_dedup_compares_lines_whose_leader_is_like_neither(spark, monkeypat
     assert lost == set(range(12, 24))
 
 
+def test_line_dedup_compares_all_that_stand_apart_in_a_large_bucket(spark, monkeypatch):
+    # All lines meet in one bucket, larger than what is compared at once, and agree in all minima: no further minima cut it.
+    monkeypatch.setattr(line_dedup, "signatures", lambda lines: lines.select("id", *[F.lit(0).alias(f"m{k}") for k in range(24)]).distinct())
+    monkeypatch.setattr(line_dedup, "DEALT", 16)
+    rng = random.Random(24)
+    lines = [prose(rng, 30) for _ in range(40)]
+    df = docs(spark, lines + [t + " tail" for t in lines])
+    assert {r.doc_id for r in dedup_lines(df).where("n_removed > 0").collect()} == set(range(40, 80))
+
+
 def test_line_dedup_reads_words_to_their_end(spark):
     rng = random.Random(22)
     lines = ["Order 2024000123", "Order 2024000199", "x" * 7, "x" * 6]
