@@ -7,6 +7,7 @@ one round at most.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from codeloom import schema
 from codeloom.sources.tables import cut
 
 SMALL_EDGES, SMALL_BYTES = 1_000_000, 128 << 20  # a graph that one task takes in whole
+WALKERS = 32  # tasks that share out a component's circuits
 
 
 def edges(relations: DataFrame, projects: list[str] | None = None) -> DataFrame:
@@ -177,7 +179,14 @@ def strong_components(graph: DataFrame) -> DataFrame:
     for each colour, and its tables are as large as the graph that is left, never as its pairs; a
     long chain of components takes many rounds.
     """
-    graph = cut(graph.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+    return _strong_components(_whole_edges(graph))
+
+
+def _whole_edges(graph: DataFrame) -> DataFrame:
+    return cut(graph.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
+
+
+def _strong_components(graph: DataFrame) -> DataFrame:
     size = F.octet_length(F.col("src").cast("string")) + F.octet_length(F.col("dst").cast("string"))
     n, n_bytes = graph.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
     if n <= SMALL_EDGES and n_bytes <= SMALL_BYTES:
@@ -226,32 +235,218 @@ def _spread_least(graph: DataFrame, marks: DataFrame) -> DataFrame:
         marks = marks.select("node", "c")
 
 
+def _next_steps(src: np.ndarray, dst: np.ndarray, n: int) -> list[list[int]]:
+    order = np.lexsort((dst, src))
+    starts, targets = np.searchsorted(src[order], np.arange(n + 1)).tolist(), dst[order].tolist()
+    return [targets[starts[v] : starts[v + 1]] for v in range(n)]
+
+
+def _by_least_node(src: np.ndarray, dst: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Least node (ascending), nodes, src and dst of strong components, taken apart again without their least node: a circuit lies whole in the one that has its own least node as least."""
+
+    def components(nodes: np.ndarray, s: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        i, j = np.searchsorted(nodes, s), np.searchsorted(nodes, d)
+        at = _components_of(i, j, len(nodes))
+        members, inside = np.argsort(at, kind="stable"), np.flatnonzero((at[i] == at[j]) & (at[i] >= 0))
+        members, inside = members[at[members] >= 0], inside[np.argsort(at[i][inside], kind="stable")]
+        cuts = np.flatnonzero(np.diff(at[members])) + 1, np.flatnonzero(np.diff(at[i][inside])) + 1
+        for own, e in zip(np.split(nodes[members], cuts[0]), np.split(inside, cuts[1]), strict=True):
+            if len(own):
+                yield int(own[0]), own, s[e], d[e]
+
+    left = list(components(np.arange(n), src, dst))
+    heapq.heapify(left)
+    while left:
+        first, own, s, d = heapq.heappop(left)
+        yield first, own, s, d
+        rest = (s != first) & (d != first)
+        for part in components(own[1:], s[rest], d[rest]) if rest.any() else ():
+            heapq.heappush(left, part)
+
+
+def _circuits_through(start: int, steps: dict[int, list[int]]) -> Iterator[list[int]]:
+    """Elementary circuits through ``start`` of a strong component (Johnson: a node that leads nowhere stays blocked until a node behind it is free)."""
+    path, way, blocked, waiting, closed = [start], [iter(steps[start])], {start}, {}, [False]
+    while way:
+        for w in way[-1]:
+            if w == start:
+                yield path
+                closed[-1] = True
+            elif w not in blocked:
+                path.append(w)
+                way.append(iter(steps[w]))
+                blocked.add(w)
+                closed.append(False)
+                break
+        else:
+            way.pop()
+            v = path.pop()
+            if closed.pop():
+                if closed:
+                    closed[-1] = True
+                free = [v]
+                while free:
+                    u = free.pop()
+                    if u in blocked:
+                        blocked.discard(u)
+                        free += waiting.pop(u, ())
+            else:
+                for w in steps[v]:
+                    waiting.setdefault(w, set()).add(v)
+
+
+def _least_rotation(names: list[str]) -> tuple[str, list[str]]:
+    """The rotation of the least joined text, with that text."""
+    keys = [x + "::" for x in names]
+    low = min(keys)  # what doesn't begin with it is behind it
+    return min(("::".join(r), r) for r in (names[i:] + names[:i] for i, k in enumerate(keys) if k.startswith(low)))
+
+
+def _first_circuits(names: list[str], src: np.ndarray, dst: np.ndarray, k: int) -> Iterator[tuple[str, list[str]]]:
+    """Circuits of a strong component, the first ``k`` in the order of their texts among them; names hold no colon.
+
+    The least of the open paths is extended, each known to lead back to its start, so that a
+    circuit is met after no more paths than it has nodes.
+    """
+    for name in sorted(names[v] for v in src[src == dst].tolist())[:k]:
+        yield name, [name]
+    rank = sorted(range(len(names)), key=lambda v: names[v] + "::")
+    place = np.empty(len(names), np.int64)
+    place[rank] = np.arange(len(names))
+    names, count = [names[v] for v in rank], 0
+    for first, _, s, d in _by_least_node(place[src], place[dst], len(names)):
+        steps, into = {}, {}
+        for x, y in zip(s.tolist(), d.tolist(), strict=True):
+            if x != y:
+                steps.setdefault(x, []).append(y)
+                into.setdefault(y, []).append(x)
+        heap = [(names[first] + "::", False, [first])] if steps else []
+        while heap:
+            text, whole, path = heapq.heappop(heap)
+            if whole:
+                yield text, [names[v] for v in path]
+                count += 1
+                if count >= k:
+                    return
+                continue
+            on = set(path)
+            while True:
+                back, nexts = first in steps[path[-1]], [w for w in steps[path[-1]] if w not in on]
+                if back or len(nexts) != 1:
+                    break
+                path.append(nexts[0])
+                on.add(nexts[0])
+            if back:
+                heapq.heappush(heap, ("::".join(names[v] for v in path), True, path))
+            ends, todo = {first}, [first] if nexts else []  # what leads to the start past the path
+            while todo:
+                for x in into[todo.pop()]:
+                    if x not in on and x not in ends:
+                        ends.add(x)
+                        todo.append(x)
+            for longer in ([*path, w] for w in nexts if w in ends):
+                heapq.heappush(heap, ("::".join(names[v] for v in longer) + "::", False, longer))
+
+
+def _walked(max_cycles: int | None):
+    """Of rows component, part, parts, src, dst, sorted by the first two: text, cycle of each circuit whose turn is the part's; at most the first ``max_cycles`` of a component."""
+
+    def found(got: list[pa.Table]) -> Iterator[tuple[str, list[str]]]:
+        rows = pa.concat_tables(got)
+        names = sorted(set(rows["src"].to_pylist()))
+        rank = {x: i for i, x in enumerate(names)}
+        src, dst = (np.array([rank[x] for x in rows[c].to_pylist()], np.int64) for c in ("src", "dst"))
+        if max_cycles is not None and max_cycles < 1:
+            return
+        if max_cycles is not None and not any(":" in x for x in names):
+            yield from _first_circuits(names, src, dst, max_cycles)
+            return
+        part, parts = rows["part"][0].as_py(), rows["parts"][0].as_py()
+        for turn, (start, nodes, s, d) in enumerate(_by_least_node(src, dst, len(names))):
+            if turn % parts == part:
+                steps = dict(zip(nodes.tolist(), _next_steps(np.searchsorted(nodes, s), np.searchsorted(nodes, d), len(nodes)), strict=True))
+                steps = {v: nodes[w].tolist() for v, w in steps.items()}
+                for path in _circuits_through(start, steps):
+                    yield _least_rotation([names[v] for v in path])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+        key, got = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            both = list(zip(rows["component"].to_pylist(), rows["part"].to_pylist(), strict=True))
+            i = 0
+            while i < len(both):
+                j = i + 1
+                while j < len(both) and both[j] == both[i]:
+                    j += 1
+                if both[i] != key and got:
+                    yield got
+                    got = []
+                key = both[i]
+                got.append(rows.slice(i, j - i))
+                i = j
+        if got:
+            yield got
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, texts, cycles, size = [pa.string(), pa.list_(pa.string())], [], [], 0
+        for got in groups(batches):
+            for text, cycle in found(got):
+                texts.append(text)
+                cycles.append(cycle)
+                size += len(text) + 64
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, shape[0]), pa.array(cycles, shape[1])], names=["text", "cycle"])
+                    texts, cycles, size = [], [], 0
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array(texts, shape[0]), pa.array(cycles, shape[1])], names=["text", "cycle"])
+
+    return run
+
+
 def circuits(graph: DataFrame, max_cycles: int | None = None) -> DataFrame:
     """cycle: each elementary circuit once, rotated to the least joined text, in the order of that text.
 
-    Paths grow from a circuit's least node within its strong component, and close on it.
+    A strong component of up to SMALL_EDGES edges is walked within tasks, one for few edges and up
+    to WALKERS for many, that share out the circuits by their least node. With ``max_cycles`` a
+    component gives its first ones alone, unless names hold colons (then texts don't follow the
+    order of names, and all are found first). Larger components grow paths by rounds.
     """
-    sc = strong_components(graph)
+    graph = _whole_edges(graph)
+    sc = _strong_components(graph)
     inside = (
-        graph.select("src", "dst").distinct()
-        .join(sc.select(F.col("node").alias("src"), F.col("component").alias("_a")), "src")
-        .join(sc.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst").where("_a = _b").select("src", "dst")
+        graph.join(sc.select(F.col("node").alias("src"), "component"), "src")
+        .join(sc.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst").where("component = _b")
+        .select("component", "src", "dst").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("component")))
     )
     inside = cut(inside, "inside")
+    parts = F.lit(1) if max_cycles is not None else F.least(F.ceil(F.col("_n") / 64), F.lit(WALKERS))
+    dealt = inside.where(F.col("_n") <= SMALL_EDGES).withColumn("parts", parts.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("component", "part", "parts", "src", "dst").repartition(graph.sparkSession.sparkContext.defaultParallelism, "component", "part").sortWithinPartitions("component", "part")
+    found = dealt.mapInArrow(_walked(max_cycles), "text string, cycle array<string>")
+    large = inside.where(F.col("_n") > SMALL_EDGES)
+    if not large.isEmpty():
+        found = found.unionByName(_circuits_by_rounds(large.select("src", "dst")))
+    if max_cycles is None:  # a sort reads its rows twice
+        return cut(found, "circuits").orderBy("text", "cycle").select("cycle")
+    return found.orderBy("text", "cycle").select("cycle").limit(max_cycles)
+
+
+def _circuits_by_rounds(inside: DataFrame) -> DataFrame:
+    """text, cycle of all circuits: paths grow from a circuit's least node within its strong component, and close on it."""
     step = inside.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
     paths = cut(inside.where("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")), "paths")
     found = None
-    while not paths.isEmpty():
+    while found is None or not paths.isEmpty():
         closed = paths.where("last = start").select(F.slice("path", 1, F.size("path") - 1).alias("path"))
         found = closed if found is None else found.unionByName(closed)
         grown = paths.where("last != start").join(step, F.col("last") == F.col("_from")).where((F.col("_to") == F.col("start")) | ((F.col("_to") > F.col("start")) & ~F.array_contains("path", F.col("_to"))))
         paths = cut(grown.select("start", F.col("_to").alias("last"), F.concat("path", F.array("_to")).alias("path")), "paths")
-    if found is None:
-        return graph.select(F.array("src").alias("cycle")).limit(0)
     rotations = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda i: F.concat(F.slice("path", i + 1, F.size("path")), F.slice("path", 1, i)))
     least = F.array_min(F.transform(rotations, lambda r: F.struct(F.array_join(r, "::").alias("text"), r.alias("cycle"))))
-    out = found.select(least.alias("_m")).select("_m.text", "_m.cycle").distinct().orderBy("text").select("cycle")
-    return out if max_cycles is None else out.limit(max_cycles)
+    return found.select(least.alias("_m")).select("_m.text", "_m.cycle").distinct()
 
 
 def fan_metrics(graph: DataFrame) -> DataFrame:

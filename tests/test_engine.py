@@ -438,3 +438,45 @@ def test_max_cycles_of_a_long_chain_of_rings_takes_the_first_in_order(spark, mon
     monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
     assert ["::".join(r.cycle) for r in graph.circuits(_chained_rings(spark, 40), 5).collect()] == [f"n{i:03}a::n{i:03}b::n{i:03}c" for i in range(5)]
     assert len(written) < 20
+
+
+def _plain_circuits(edges):
+    edges, found = set(edges), set()
+
+    def go(path):
+        for a, b in edges:
+            if a == path[-1] and b == path[0]:
+                found.add(min(("::".join(path[i:] + path[:i]), tuple(path[i:] + path[:i])) for i in range(len(path))))
+            elif a == path[-1] and b > path[0] and b not in path:
+                go([*path, b])
+
+    for a in {a for a, _ in edges}:
+        go([a])
+    return [list(c) for _, c in sorted(found)]
+
+
+def test_circuits_against_a_plain_search(spark):
+    rng = random.Random(5)
+    for names_, n in ((["s1", "s10", "s100", "s2", "s", "s1x", "t"], 20), (["a", "a:", "a::b", "b", "::", "c", "a::a"], 18), ([f"n{i:02}" for i in range(24)], 60)):
+        rows = {(rng.choice(names_), rng.choice(names_)) for _ in range(n)}
+        want = _plain_circuits(rows)
+        assert len(want) > 5
+        g = spark.createDataFrame(sorted(rows), "src string, dst string")
+        assert [r.cycle for r in graph.circuits(g).collect()] == want
+        for k in (0, 1, 3, len(want), len(want) + 1):
+            assert [r.cycle for r in graph.circuits(g, k).collect()] == want[:k]
+
+
+def test_circuits_of_large_components_by_rounds_are_the_same(spark):
+    g = _chained_rings(spark, 3).union(spark.createDataFrame([("n000c", "n000b"), ("n000a", "n000a"), ("n000b", "n000a")], "src string, dst string")).cache()
+    want = [r.cycle for r in graph.circuits(g).collect()]
+    assert len(want) == 6 and [r.cycle for r in graph._circuits_by_rounds(g).orderBy("text").collect()] == want
+
+
+def test_a_long_circuit_takes_no_round_a_node(spark, monkeypatch):
+    written, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
+    ring = [f"n{i:03}" for i in range(300)]
+    g = spark.createDataFrame(list(zip(ring, ring[1:] + ring[:1], strict=True)), "src string, dst string")
+    assert [r.cycle for r in graph.circuits(g).collect()] == [ring]
+    assert len(written) < 8
