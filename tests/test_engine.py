@@ -480,3 +480,10 @@ def test_a_long_circuit_takes_no_round_a_node(spark, monkeypatch):
     g = spark.createDataFrame(list(zip(ring, ring[1:] + ring[:1], strict=True)), "src string, dst string")
     assert [r.cycle for r in graph.circuits(g).collect()] == [ring]
     assert len(written) < 8
+
+
+def test_max_cycles_of_a_dense_graph_takes_the_first_alone(spark):
+    n = 40  # over 10 ** 46 circuits in all
+    g = spark.range(n * n).selectExpr("format_string('n%02d', id div {0}) as src".format(n), "format_string('n%02d', id % {0}) as dst".format(n)).where("src != dst")
+    got = ["::".join(r.cycle) for r in graph.circuits(g, 3).collect()]
+    assert got == ["n00::n01", "n00::n01::n02", "n00::n01::n02::n03"]
