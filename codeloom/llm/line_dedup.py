@@ -11,8 +11,8 @@ similarity 0.8 do that share a bucket. In buckets that still hold several compon
 compared if the bucket is small. A large one is cut into smaller ones by further minima, again and
 again, each with its leader, until they are small or agree in all minima; and its components are
 compared with several lines chosen by hash. That joins most of what is alike. What then still
-stands apart in a large bucket is compared in whole: all lines outside the bucket's largest
-component with all lines of other components. Pairs are verified by the Jaccard similarity of all their shingles (told apart
+stands apart in large buckets is compared in whole: all pairs of lines of different components
+that share one of their rarest shingles at such places that they can be alike. Pairs are verified by the Jaccard similarity of all their shingles (told apart
 by 64-bit hashes), and union-find over the verified pairs gives components, of which the first
 line in document order is kept.
 
@@ -33,7 +33,7 @@ SHINGLE, MINIMA, PERCENT = 8, 12, 80
 BANDS, WIDTHS = 6, (2, 4, 7, 12)  # a bucket's minima at first, and as it is cut further
 LONG, FIRST = 160, 16
 AGREE = 6
-SMALL_BUCKET, DRAWS, DEALT = 32, 3, 1024
+SMALL_BUCKET, DRAWS, DEALT, SAMPLED = 32, 3, 1024, 8
 SMALL_ROWS = 2_000_000  # what may be broadcast, within the bytes that small_or_not allows
 _WORDS = 4  # hashes of a shingle; each gives minima under orders that differ in their first bits
 _HAS = r"[\p{L}\p{N}]"
@@ -149,22 +149,50 @@ def mixed_pairs(meeting: DataFrame, component: DataFrame, known: DataFrame) -> D
     return found.distinct().join(known, ["a", "b"], "left_anti")
 
 
-def rest_pairs(meeting: DataFrame, component: DataFrame, known: DataFrame) -> DataFrame:
-    """a < b: all pairs of different components that agree, in each bucket that ``mixed_pairs`` took as large, without those in ``known``.
+def large_mixed(meeting: DataFrame, component: DataFrame) -> DataFrame:
+    """id, component of the lines of each bucket that ``mixed_pairs`` took as large, as far as it still holds several components."""
+    labelled = meeting.where(F.col("size") > SMALL_BUCKET // 2).select("id", "bucket").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
+    labelled = cut(labelled.select("id", "bucket", F.coalesce("component", "id").alias("component")), "labelled")
+    of = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    mixed = cut(of.where((F.col("_n") > SMALL_BUCKET) & (F.col("_lo") < F.col("_hi"))).select("bucket"), "mixed")
+    return cut(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket", "left_semi").select("id", "component").distinct(), "apart")
 
-    One line of a pair is outside the bucket's largest component, so that such lines meet all others; these are dealt by hash, and
-    a bucket's work is shared out.
+
+def rest_pairs(apart: DataFrame, lines: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a < b: pairs of lines of ``apart`` (id, component) of different components, without those in ``known``: all that can be alike.
+
+    Shingles are taken in one order, from the rarest on as a sample of the lines tells, then by hash. The
+    first shingle that two like lines share stands among the first of each, and the places of a shared
+    shingle bound how many they share. The sample steers only how many pairs are tried.
     """
-    labelled = meeting.where(F.col("size") > SMALL_BUCKET // 2).select("id", "m", "bucket").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
-    labelled = cut(labelled.select("id", "m", "bucket", F.coalesce("component", "id").alias("component")), "labelled")
-    counts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_c"))
-    of = counts.groupBy("bucket").agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"), F.max(F.struct("_c", "component"))["component"].alias("_top"))
-    mixed = cut(of.where((F.col("_n") > SMALL_BUCKET) & (F.col("_k") > 1)).select("bucket", "_top", F.ceil(F.col("_n") / DEALT).cast("int").alias("_parts")), "mixed")
-    inside = cut(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket"), "inside")
-    apart = inside.where(F.col("component") != F.col("_top")).select("bucket", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("m").alias("_ma"))
-    others = inside.select("bucket", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("m").alias("_mb"), (F.col("component") == F.col("_top")).alias("_in_top"))
-    met = apart.join(others, ["bucket", "_p"]).where((F.col("_ca") != F.col("_cb")) & (F.col("_in_top") | (F.col("_a") < F.col("_b"))) & agree("_ma", "_mb"))
-    return met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+    own = lines.select("id", "line").join(small_or_not(apart, SMALL_ROWS), "id").groupBy("id").agg(F.first("line").alias("line"), F.first("component").alias("component"))
+    own = cut(own, "apart-lines")
+    shingles = F.array_distinct(shingle_hashes(F.col("line")))
+    sample = own.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLED)) == 0).select(F.explode(shingles).alias("s"))
+    common = cut(sample.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("_f")).where("_f > 1"), "common")
+    # Dealt by id beforehand, so that the shingles needn't be exchanged to come together again.
+    each = own.repartition("id").select("id", "component", F.explode(shingles).alias("s")).join(small_or_not(common, SMALL_ROWS), "s", "left")
+    sets = each.groupBy("id").agg(F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "s"))).alias("_all"))
+    n = F.size("_all")
+    sets = sets.select("id", "component", n.alias("n"), F.slice("_all", F.lit(1), n - F.expr(f"({percent} * size(_all) + 99) div 100").cast("int") + 1).alias("_first"))
+    sets = sets.select("id", "component", "n", F.posexplode("_first").alias("i", "_s"))
+    # A common shingle's lines are dealt by hash; each part meets all of the other side.
+    sets = cut(sets.select("id", "component", "n", F.col("i") + 1, F.col("_s.s").alias("s"), F.ceil(F.col("_s.f") * SAMPLED / DEALT).cast("int").alias("parts")).toDF("id", "component", "n", "i", "s", "parts"), "firsts")
+    parts = F.greatest(F.col("parts"), F.lit(1))
+    large = sets.select("s", F.pmod(F.xxhash64("id"), parts).cast("int").alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("i").alias("_ib"))
+    # Beside a line at least as large, fewer of the first are enough.
+    fewer = sets.where(F.col("i") <= F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1)
+    small = fewer.select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("i").alias("_ia"))
+    share = F.least("_ia", "_ib") + F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib"))
+    can = (
+        (small["s"] == large["s"]) & (small["_p"] == large["_p"]) & (F.col("_ca") != F.col("_cb"))
+        & ((F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("_a") < F.col("_b"))))
+        & (100 * F.col("_na") >= percent * F.col("_nb")) & ((100 + percent) * share >= percent * (F.col("_na") + F.col("_nb")))
+    )
+    # All that two like lines share up to the last shingle met here has been met; behind it no more than the shorter rest is shared.
+    met = small.join(large, can).groupBy("_a", "_b", "_na", "_nb").agg(F.count(F.lit(1)).alias("_k"), F.max("_ia").alias("_ia"), F.max("_ib").alias("_ib"))
+    met = met.where((100 + percent) * (F.col("_k") + F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib"))) >= percent * (F.col("_na") + F.col("_nb")))
+    return met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).join(known, ["a", "b"], "left_anti")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -197,7 +225,7 @@ def duplicate_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     if not more.isEmpty():
         links = cut(links.unionByName(verified(more, lines)), "links")
         component = connected_components(links)
-    rest = cut(rest_pairs(meeting, component, pairs.unionByName(more)), "rest")
+    rest = cut(rest_pairs(large_mixed(meeting, component), lines, pairs.unionByName(more)), "rest")
     if not rest.isEmpty():
         component = connected_components(links.unionByName(verified(rest, lines)))
     # Lines that stand once and have no like line need no decision.

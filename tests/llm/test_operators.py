@@ -608,3 +608,23 @@ def test_line_dedup_finds_pairs_on_both_sides_of_the_sampled_length(spark):
             want += 1
     got = {r.doc_id for r in dedup_lines(docs(spark, lines)).where("n_removed > 0").collect()}
     assert got <= set(range(1, len(lines), 2)) and len(got) >= 0.97 * want
+
+
+def test_line_dedup_tries_few_pairs_of_a_large_mixed_bucket_and_all_like_ones(spark):
+    rng = random.Random(12)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(110)]
+    lines = []
+    for i in range(300):  # copies of a line with two stretches of their own, far from each other; every tenth has a like one
+        line = list(base)
+        for at in (rng.randrange(0, 45), rng.randrange(55, 95)):
+            line[at : at + 12] = rng.choices("0123456789", k=12)
+        lines.append("".join(line))
+        if i % 10 == 0:
+            lines.append("".join(line[:-4]) + "wxyz")
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    like = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    none = spark.createDataFrame([], "a long, b long")
+    got = {(r.a, r.b) for r in line_dedup.rest_pairs(df.select("id", df.id.alias("component")), df, none).collect()}
+    assert len(like) >= 30 and like <= got
+    assert len(got) < 3 * len(lines)  # of 54,000 pairs
