@@ -8,6 +8,7 @@ one round at most.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,10 +187,16 @@ def _whole_edges(graph: DataFrame) -> DataFrame:
     return cut(graph.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
 
 
+def _small(graph: DataFrame) -> tuple[bool, bool]:
+    """Whether one task takes the edges in whole, and whether a name has a colon."""
+    src, dst = F.col("src").cast("string"), F.col("dst").cast("string")
+    size, colon = F.octet_length(src) + F.octet_length(dst), F.contains(src, F.lit(":")) | F.contains(dst, F.lit(":"))
+    n, n_bytes, colons = graph.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0)), F.coalesce(F.bool_or(colon), F.lit(False))).first()
+    return n <= SMALL_EDGES and n_bytes <= SMALL_BYTES, colons
+
+
 def _strong_components(graph: DataFrame) -> DataFrame:
-    size = F.octet_length(F.col("src").cast("string")) + F.octet_length(F.col("dst").cast("string"))
-    n, n_bytes = graph.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
-    if n <= SMALL_EDGES and n_bytes <= SMALL_BYTES:
+    if _small(graph)[0]:
         kind = graph.schema["src"].dataType
         shape = StructType([StructField("node", kind), StructField("component", kind)])
         return cut(graph.coalesce(1).mapInArrow(_solved, shape), "components")
@@ -303,7 +310,7 @@ def _least_rotation(names: list[str]) -> tuple[str, list[str]]:
 
 
 def _first_circuits(names: list[str], src: np.ndarray, dst: np.ndarray, k: int) -> Iterator[tuple[str, list[str]]]:
-    """Circuits of a strong component, the first ``k`` in the order of their texts among them; names hold no colon.
+    """Circuits of a graph, the first ``k`` in the order of their texts among them; names hold no colon.
 
     The least of the open paths is extended, each known to lead back to its start, so that a
     circuit is met after no more paths than it has nodes.
@@ -348,6 +355,25 @@ def _first_circuits(names: list[str], src: np.ndarray, dst: np.ndarray, k: int)
                 heapq.heappush(heap, ("::".join(names[v] for v in longer) + "::", False, longer))
 
 
+def _first_walked(max_cycles: int):
+    """text, cycle of the first ``max_cycles`` circuits, and some more, of all the edges (src, dst) of a partition; names hold no colon."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        sides = [rows[c].cast(pa.string()).to_pylist() for c in ("src", "dst")]
+        names = sorted({*sides[0], *sides[1]})
+        rank = {x: i for i, x in enumerate(names)}
+        circuits_ = _first_circuits(names, *(np.array([rank[x] for x in side], np.int64) for side in sides), max_cycles)
+        while some := list(itertools.islice(circuits_, 10_000)):
+            texts, cycles = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(cycles, pa.list_(pa.string()))], names=["text", "cycle"])
+
+    return run
+
+
 def _walked(max_cycles: int | None):
     """Of rows component, part, parts, src, dst, sorted by the first two: text, cycle of each circuit whose turn is the part's; at most the first ``max_cycles`` of a component."""
 
@@ -411,10 +437,13 @@ def circuits(graph: DataFrame, max_cycles: int | None = None) -> DataFrame:
 
     A strong component of up to SMALL_EDGES edges is walked within tasks, one for few edges and up
     to WALKERS for many, that share out the circuits by their least node. With ``max_cycles`` a
-    component gives its first ones alone, unless names hold colons (then texts don't follow the
-    order of names, and all are found first). Larger components grow paths by rounds.
+    component gives its first ones alone, and one task finds those of a graph of up to SMALL_EDGES
+    edges, unless names hold colons (then texts don't follow the order of names, and all are found
+    first). Larger components grow paths by rounds.
     """
     graph = _whole_edges(graph)
+    if max_cycles is not None and max_cycles > 0 and _small(graph) == (True, False):
+        return graph.coalesce(1).mapInArrow(_first_walked(max_cycles), "text string, cycle array<string>").orderBy("text", "cycle").select("cycle").limit(max_cycles)
     sc = _strong_components(graph)
     inside = (
         graph.join(sc.select(F.col("node").alias("src"), "component"), "src")

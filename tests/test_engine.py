@@ -487,3 +487,12 @@ def test_max_cycles_of_a_dense_graph_takes_the_first_alone(spark):
     g = spark.range(n * n).selectExpr("format_string('n%02d', id div {0}) as src".format(n), "format_string('n%02d', id % {0}) as dst".format(n)).where("src != dst")
     got = ["::".join(r.cycle) for r in graph.circuits(g, 3).collect()]
     assert got == ["n00::n01", "n00::n01::n02", "n00::n01::n02::n03"]
+
+
+def test_first_circuits_of_a_small_graph_are_one_task(spark, monkeypatch):
+    written, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
+    g = _chained_rings(spark, 300).union(spark.createDataFrame([("n", "n"), ("o", "p"), ("p", "o"), ("a", "z")], "src string, dst string"))
+    got = [r.cycle for r in graph.circuits(g, 4).collect()]
+    assert written == ["edges"]
+    assert got == [r.cycle for r in graph.circuits(g).collect()][:4] and got[0] == ["n"]
