@@ -11,10 +11,11 @@ similarity 0.8 do that share a bucket. In buckets that still hold several compon
 compared if the bucket is small. A large one is cut into smaller ones by further minima, again and
 again, each with its leader, until they are small or agree in all minima; and its components are
 compared with several lines chosen by hash. That joins most of what is alike. What then still
-stands apart in large buckets is compared in whole: all pairs of lines of different components
-that share one of their rarest shingles at such places that they can be alike. Pairs are verified by the Jaccard similarity of all their shingles (told apart
-by 64-bit hashes), and union-find over the verified pairs gives components, of which the first
-line in document order is kept.
+stands apart in large buckets is compared in whole: all pairs of a bucket's lines of different components
+whose sketches allow that they are alike. A sketch has the bits, of 1024, on which a line's shingles
+fall, so the bits in which two differ are at most the shingles that only one line has. Pairs
+are verified by the Jaccard similarity of all their shingles (told apart by 64-bit hashes), and
+union-find over the verified pairs gives components, of which the first line in document order is kept.
 
 Signatures of long lines are minima over a quarter of their shingles, chosen by hash. Lines
 near the length from which on that holds are signed both ways, so that any two lines alike
@@ -27,13 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.components import connected_components
-from codeloom.llm.scratch import cut, drop_table, small_or_not
+from codeloom.llm.scratch import cut, drop_table, drop_tables, small_or_not
 
 SHINGLE, MINIMA, PERCENT = 8, 12, 80
 BANDS, WIDTHS = 6, (2, 4, 7, 12)  # a bucket's minima at first, and as it is cut further
 LONG, FIRST = 160, 16
 AGREE = 6
-SMALL_BUCKET, DRAWS, DEALT, SAMPLED = 32, 3, 1024, 8
+SMALL_BUCKET, DRAWS, DEALT = 32, 3, 1024
+SKETCH = 16  # longs of a line's sketch, a power of two
 SMALL_ROWS = 2_000_000  # what may be broadcast, within the bytes that small_or_not allows
 _WORDS = 4  # hashes of a shingle; each gives minima under orders that differ in their first bits
 _HAS = r"[\p{L}\p{N}]"
@@ -100,15 +102,19 @@ def agree(a: str, b: str) -> Column:
 
 
 def meetings(signed: DataFrame) -> DataFrame:
-    """id, bucket, leader, m: each line in each bucket that it shares, with the bucket's least id and the line's minima."""
+    """id, bucket, leader, size, m: each line in each bucket that it shares, with the bucket's least id and the line's minima; a written table."""
     minima = signed.select("id", F.array(*[f"m{k}" for k in range(MINIMA)]).alias("m"))
     rows = minima.select("id", F.explode(bucket_keys(WIDTHS[0])).alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("size")).where("leader < _last").select("bucket", "leader", "size")
     # Minima go along only with the rows that are left.
-    inside = cut(rows.join(small_or_not(cut(shared, "buckets"), SMALL_ROWS), "bucket").select("id", "bucket", "leader", "size"), "inside")
-    own = minima.join(small_or_not(cut(inside.select("id").distinct(), "ids"), SMALL_ROWS), "id", "left_semi")
+    shared = cut(shared, "buckets")
+    inside = cut(rows.join(small_or_not(shared, SMALL_ROWS), "bucket").select("id", "bucket", "leader", "size"), "inside")
+    ids = cut(inside.select("id").distinct(), "ids")
+    own = minima.join(small_or_not(ids, SMALL_ROWS), "id", "left_semi")
     # A line that is signed both ways stands with both; what agrees in neither is no pair.
-    return inside.join(own, "id")
+    out = cut(inside.join(own, "id"), "meeting")
+    drop_tables([shared, inside, ids])
+    return out
 
 
 def leader_pairs(meeting: DataFrame) -> DataFrame:
@@ -118,15 +124,21 @@ def leader_pairs(meeting: DataFrame) -> DataFrame:
 
 
 def mixed_pairs(meeting: DataFrame, component: DataFrame, known: DataFrame) -> DataFrame:
-    """a < b: pairs of different components to compare in buckets that hold several, without those in ``known``."""
+    """a < b: pairs of different components to compare in buckets that hold several, without those in ``known``; a written table."""
+    used: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(cut(df, name))
+        return used[-1]
+
     # In a bucket of two the leader has met the other line.
     labelled = meeting.where("size > 2").select("id", "m", "bucket").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
-    labelled = cut(labelled.select("id", "m", "bucket", F.coalesce("component", "id").alias("component")), "labelled")
+    labelled = kept(labelled.select("id", "m", "bucket", F.coalesce("component", "id").alias("component")), "labelled")
     found: DataFrame | None = None
     for depth, _ in enumerate(WIDTHS):
         of = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        mixed = cut(of.where("_lo < _hi").select("bucket", "_n"), "mixed")
-        inside = cut(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket"), "inside")
+        mixed = kept(of.where("_lo < _hi").select("bucket", "_n"), "mixed")
+        inside = kept(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket"), "inside")
         few, many = inside.where(F.col("_n") <= SMALL_BUCKET), inside.where(F.col("_n") > SMALL_BUCKET)
         left, right = (few.select("bucket", F.col("id").alias(x), F.col("component").alias(f"_c{x}"), F.col("m").alias(f"_m{x}")) for x in "ab")
         pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & agree("_ma", "_mb")).select("a", "b")
@@ -144,71 +156,90 @@ def mixed_pairs(meeting: DataFrame, component: DataFrame, known: DataFrame) -> D
         if depth + 1 == len(WIDTHS) or many.isEmpty():
             break
         # A bucket's own band isn't known from its hash, so a large one's lines go on in all bands' larger widths.
-        on = cut(many.select("id", "component", "m").distinct(), "on")
-        labelled = cut(on.select("id", "component", "m", F.explode(bucket_keys(WIDTHS[depth + 1])).alias("bucket")), "labelled")
-    return found.distinct().join(known, ["a", "b"], "left_anti")
+        on = kept(many.select("id", "component", "m").distinct(), "on")
+        labelled = kept(on.select("id", "component", "m", F.explode(bucket_keys(WIDTHS[depth + 1])).alias("bucket")), "labelled")
+    out = cut(found.distinct().join(known, ["a", "b"], "left_anti"), "more")
+    drop_tables(used)
+    return out
 
 
 def large_mixed(meeting: DataFrame, component: DataFrame) -> DataFrame:
-    """id, component of the lines of each bucket that ``mixed_pairs`` took as large, as far as it still holds several components."""
+    """bucket, id, component of the lines of each bucket that ``mixed_pairs`` took as large, as far as it still holds several components."""
     labelled = meeting.where(F.col("size") > SMALL_BUCKET // 2).select("id", "bucket").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
     labelled = cut(labelled.select("id", "bucket", F.coalesce("component", "id").alias("component")), "labelled")
     of = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     mixed = cut(of.where((F.col("_n") > SMALL_BUCKET) & (F.col("_lo") < F.col("_hi"))).select("bucket"), "mixed")
-    return cut(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket", "left_semi").select("id", "component").distinct(), "apart")
+    out = cut(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket", "left_semi").select("bucket", "id", "component").distinct(), "apart")
+    drop_tables([labelled, mixed])
+    return out
 
 
 def rest_pairs(apart: DataFrame, lines: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a < b: pairs of lines of ``apart`` (id, component) of different components, without those in ``known``: all that can be alike.
+    """a < b: pairs of lines of ``apart`` (bucket, id, component; without bucket: of one) of one bucket and different components that can be alike, without those in ``known``; a written table.
 
-    Shingles are taken in one order, from the rarest on as a sample of the lines tells, then by hash. The
-    first shingle that two like lines share stands among the first of each, and the places of a shared
-    shingle bound how many they share. The sample steers only how many pairs are tried.
+    ``lines`` has each line once. All pairs are looked at by their sketches alone, dealt by hash: the lines outside a bucket's largest
+    component with all lines of others. What sketches rule out can't be alike.
     """
-    own = lines.select("id", "line").join(small_or_not(apart, SMALL_ROWS), "id").groupBy("id").agg(F.first("line").alias("line"), F.first("component").alias("component"))
-    own = cut(own, "apart-lines")
-    shingles = F.array_distinct(shingle_hashes(F.col("line")))
-    sample = own.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLED)) == 0).select(F.explode(shingles).alias("s"))
-    common = cut(sample.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("_f")).where("_f > 1"), "common")
-    # Dealt by id beforehand, so that the shingles needn't be exchanged to come together again.
-    each = own.repartition("id").select("id", "component", F.explode(shingles).alias("s")).join(small_or_not(common, SMALL_ROWS), "s", "left")
-    sets = each.groupBy("id").agg(F.first("component").alias("component"), F.sort_array(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "s"))).alias("_all"))
-    n = F.size("_all")
-    sets = sets.select("id", "component", n.alias("n"), F.slice("_all", F.lit(1), n - F.expr(f"({percent} * size(_all) + 99) div 100").cast("int") + 1).alias("_first"))
-    sets = sets.select("id", "component", "n", F.posexplode("_first").alias("i", "_s"))
-    # A common shingle's lines are dealt by hash; each part meets all of the other side.
-    sets = cut(sets.select("id", "component", "n", F.col("i") + 1, F.col("_s.s").alias("s"), F.ceil(F.col("_s.f") * SAMPLED / DEALT).cast("int").alias("parts")).toDF("id", "component", "n", "i", "s", "parts"), "firsts")
-    parts = F.greatest(F.col("parts"), F.lit(1))
-    large = sets.select("s", F.pmod(F.xxhash64("id"), parts).cast("int").alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("i").alias("_ib"))
-    # Beside a line at least as large, fewer of the first are enough.
-    fewer = sets.where(F.col("i") <= F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1)
-    small = fewer.select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("i").alias("_ia"))
-    share = F.least("_ia", "_ib") + F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib"))
+    if "bucket" not in apart.columns:
+        apart = apart.withColumn("bucket", F.lit(0))
+    own = cut(sketches(lines), "sketches")
+    of = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket")
+    of = cut(of.agg(F.ceil(F.sum("_n") / DEALT).cast("int").alias("parts"), F.max(F.struct("_n", "component"))["component"].alias("most")), "sizes")
+    rows = cut(apart.join(small_or_not(of, SMALL_ROWS), "bucket").join(own, "id").select("bucket", "parts", "most", "id", "component", "n", "w"), "dealt")
+    outer = rows.where("component != most").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("w").alias("_wa"))
+    every = rows.select("bucket", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("w").alias("_wb"))
     can = (
-        (small["s"] == large["s"]) & (small["_p"] == large["_p"]) & (F.col("_ca") != F.col("_cb"))
-        & ((F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & (F.col("_a") < F.col("_b"))))
-        & (100 * F.col("_na") >= percent * F.col("_nb")) & ((100 + percent) * share >= percent * (F.col("_na") + F.col("_nb")))
+        (outer["bucket"] == every["bucket"]) & (outer["_p"] == every["_p"]) & (F.col("_ca") != F.col("_cb"))
+        & ((F.col("_a") < F.col("_b")) | (F.col("_cb") == F.col("most"))) & can_be_alike("_na", "_wa", "_nb", "_wb", percent)
     )
-    # All that two like lines share up to the last shingle met here has been met; behind it no more than the shorter rest is shared.
-    met = small.join(large, can).groupBy("_a", "_b", "_na", "_nb").agg(F.count(F.lit(1)).alias("_k"), F.max("_ia").alias("_ia"), F.max("_ib").alias("_ib"))
-    met = met.where((100 + percent) * (F.col("_k") + F.least(F.col("_na") - F.col("_ia"), F.col("_nb") - F.col("_ib"))) >= percent * (F.col("_na") + F.col("_nb")))
-    return met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).join(known, ["a", "b"], "left_anti")
+    found = outer.join(every, can).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    out = cut(found.join(known, ["a", "b"], "left_anti"), "rest")
+    drop_tables([own, of, rows])
+    return out
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """id, n (places of shingles), w (SKETCH longs): the bits on which shingles fall. ``lines`` has each line once."""
+    placed = lines.select("id", wide(F.col("line")).alias("_u")).select("id", "_u", F.explode(_starts(F.col("_u"), SHINGLE)).alias("_p"))
+    each = placed.select("id", _shingle(F.col("_u"), F.col("_p"), SHINGLE).alias("_s"))
+    each = each.select("id", F.expr("shiftleft(1L, cast(_s & 63 as int))").alias("_bit"), F.expr(f"cast(shiftright(_s, 6) & {SKETCH - 1} as int)").alias("_word"))
+    words = [F.bit_or(F.when(F.col("_word") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"_w{k}") for k in range(SKETCH)]
+    return each.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), *words).select("id", "n", F.array(*[f"_w{k}" for k in range(SKETCH)]).alias("w"))
+
+
+def can_be_alike(na: str, wa: str, nb: str, wb: str, percent: int = PERCENT) -> Column:
+    """False only for lines that aren't alike: each bit that differs is a shingle of one line alone, and like lines have few of these for their places."""
+    differ = [F.bit_count(F.get(wa, F.lit(k)).bitwiseXOR(F.get(wb, F.lit(k)))) for k in range(SKETCH)]
+    return (100 + percent) * sum(differ[1:], differ[0]) <= (100 - percent) * (F.col(na) + F.col(nb))
+
+
+def lines_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """id, line of the lines of ``ids`` (a written table of id), each once; a written table."""
+    return cut(lines.select("id", "line").join(small_or_not(ids, SMALL_ROWS), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "met-lines")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The ``pairs`` (a written table) whose lines' shingle sets have a Jaccard similarity of percent / 100 or more.
+    """The ``pairs`` (a written table) whose lines' shingle sets have a Jaccard similarity of percent / 100 or more; a written table.
 
-    Sizes alone rule many pairs out. Lines are exchanged and made sets after that, as sets are several times as large.
+    Sketches alone rule many pairs out. Lines are exchanged and made sets after that, as sets are several times as large.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    met = lines.select("id", "line").join(small_or_not(cut(ids, "ids"), SMALL_ROWS), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    met = cut(met.withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("line"))))), "met-lines")
-    sizes = met.select("id", "n")
-    near = pairs.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b")
-    near = near.where(F.lit(100) * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
-    both = near.join(met.select(F.col("id").alias("a"), F.col("line").alias("_la")), "a").join(met.select(F.col("id").alias("b"), F.col("line").alias("_lb")), "b")
-    common = F.size(F.array_intersect(shingle_hashes(F.col("_la")), shingle_hashes(F.col("_lb"))))
-    return both.where(100 * common >= percent * (F.col("_na") + F.col("_nb") - common)).select("a", "b")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    met = lines_of(ids, lines)
+    drop_table(ids)
+    own = cut(sketches(met), "sketches")
+    near = pairs.join(own.toDF("a", "_na", "_wa"), "a").join(own.toDF("b", "_nb", "_wb"), "b").where(can_be_alike("_na", "_wa", "_nb", "_wb", percent))
+    near = cut(near.select("a", "b"), "near")
+    out = cut(alike(near, met, percent), "links")
+    drop_tables([met, own, near])
+    return out
+
+
+def alike(pairs: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The ``pairs`` whose lines (of ``met``, each once) are alike, by all their shingles."""
+    both = pairs.join(met.select(F.col("id").alias("a"), F.col("line").alias("_la")), "a").join(met.select(F.col("id").alias("b"), F.col("line").alias("_lb")), "b")
+    both = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("_la"))).alias("_sa"), F.array_distinct(shingle_hashes(F.col("_lb"))).alias("_sb"))
+    n, common = F.size("_sa") + F.size("_sb"), F.size(F.array_intersect("_sa", "_sb"))
+    return both.where(100 * common >= percent * (n - common)).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -216,23 +247,31 @@ def duplicate_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = cut(text_lines(docs, key, text), "lines")
     places = lines.select("key", "fp", "line_no", "id")
     signed = cut(signatures(lines), "signatures")
-    meeting = cut(meetings(signed), "meeting")
+    meeting = meetings(signed)
     drop_table(signed)
     pairs = cut(leader_pairs(meeting), "pairs")
-    links = cut(verified(pairs, lines), "links")
+    links = verified(pairs, lines)
     component = connected_components(links)
-    more = cut(mixed_pairs(meeting, component, pairs), "more")
+    more = mixed_pairs(meeting, component, pairs)
     if not more.isEmpty():
-        links = cut(links.unionByName(verified(more, lines)), "links")
+        links = links.unionByName(verified(more, lines))
         component = connected_components(links)
-    rest = cut(rest_pairs(large_mixed(meeting, component), lines, pairs.unionByName(more)), "rest")
-    if not rest.isEmpty():
-        component = connected_components(links.unionByName(verified(rest, lines)))
+    apart = large_mixed(meeting, component)
+    drop_table(meeting)
+    if not apart.isEmpty():
+        ids = cut(apart.select("id").distinct(), "ids")
+        own = lines_of(ids, lines)
+        rest = rest_pairs(apart, own, pairs.unionByName(more))
+        if not rest.isEmpty():
+            component = connected_components(links.unionByName(cut(alike(rest, own), "links")))
+        drop_tables([ids, own, rest])
+    drop_tables([pairs, more, apart])
     # Lines that stand once and have no like line need no decision.
     counted = places.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
     groups = counted.join(component.withColumnRenamed("node", "id"), "id", "left").where("_n > 1 or component is not null")
     groups = small_or_not(cut(groups.select("id", F.coalesce("component", "id").alias("component")), "groups"), SMALL_ROWS)
     standing = cut(places.join(groups, "id").select("component", "key", "fp", "line_no"), "standing")
+    drop_table(lines)
     first = standing.groupBy("component").agg(F.min(F.struct("key", "fp", "line_no")).alias("_first"))
     first = small_or_not(cut(first, "first"), SMALL_ROWS)
     return standing.join(first, "component").where(F.struct("key", "fp", "line_no") != F.col("_first")).select("key", "fp", "line_no")

@@ -36,6 +36,11 @@ def drop_table(table: DataFrame) -> None:
         there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def drop_tables(tables: list[DataFrame]) -> None:
+    for table in tables:
+        drop_table(table)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

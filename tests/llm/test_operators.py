@@ -1,5 +1,6 @@
 """Each operator on hand-made rows against a plain reckoning, with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import os
 import random
 import re
 import zlib
@@ -628,3 +629,33 @@ def test_line_dedup_tries_few_pairs_of_a_large_mixed_bucket_and_all_like_ones(sp
     got = {(r.a, r.b) for r in line_dedup.rest_pairs(df.select("id", df.id.alias("component")), df, none).collect()}
     assert len(like) >= 30 and like <= got
     assert len(got) < 3 * len(lines)  # of 54,000 pairs
+
+
+def test_line_dedup_verifies_few_pairs_and_all_like_ones(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)]
+    lines = ["x" * 90, "x" * 40, "short", "ab" * 60]
+    for changed in (4, 8, 12, 16, 20, 30, 40, 60, 80):  # from nearly the same to half the same, repeats among them
+        for _ in range(6):
+            line = list(base)
+            at = rng.randrange(300 - changed)
+            line[at : at + changed] = rng.choices("0123456789", k=changed)
+            lines.append("".join(line) + "x" * rng.choice((0, 30)))
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+    every = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines))]
+    like = {(i, j) for i, j in every if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    tried, real = [], line_dedup.alike
+    monkeypatch.setattr(line_dedup, "alike", lambda pairs, *rest: tried.append(pairs.count()) or real(pairs, *rest))
+    got = {(r.a, r.b) for r in line_dedup.verified(spark.createDataFrame(every, "a long, b long"), df).collect()}
+    assert 100 < len(like) < len(every) / 2 and got == like
+    assert tried[0] < len(every) / 3
+
+
+def test_line_dedup_leaves_no_table_but_small_ones(spark, monkeypatch):
+    left, cut = {}, line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name: left.setdefault((out := cut(df, name)).inputFiles()[0].rsplit("/", 1)[0], (name, out))[1])
+    rng = random.Random(32)
+    dedup_lines(docs(spark, [prose(rng, 30) for _ in range(20)] * 2)).collect()
+    there = {name for folder, (name, _) in left.items() if os.path.exists(folder.removeprefix("file://").removeprefix("file:"))}
+    assert not there & {"lines", "signatures", "meeting", "inside", "labelled", "met-lines", "sketches", "dealt"}
