@@ -2,18 +2,15 @@
 
 A line, lower-cased and trimmed, is a set of character shingles, one from each character on.
 Equal lines fall together by their hash. MinHash signatures are minima of an aggregation over
-exploded shingles, so they stay in generated code. Six bands of two minima give buckets: lines
-of similarity 0.8 meet in one in 99.8 % of cases, those of 0.9 in 99.99 %.
+exploded shingles, so they stay in generated code. Twelve bands of four of 24 minima give buckets.
+A bucket needs four equal minima, so that lines that share nothing but common words rarely meet.
 
 Every line is compared with the leader (least id) of each of its buckets, and what is alike is
-linked. Only pairs that agree in half of their minima are compared at all, which 99.9 % of those of
-similarity 0.8 do that share a bucket. In buckets that still hold several components, all pairs of different components are
-compared if the bucket is small. A large one is cut into smaller ones by further minima, again and
-again, each with its leader, until they are small or agree in all minima; and its components are
-compared with several lines chosen by hash. That joins most of what is alike. What then still
-stands apart in large buckets is compared in whole: all pairs of a bucket's lines of different components
-whose sketches allow that they are alike. A sketch has the bits, of 1024, on which a line's shingles
-fall, so the bits in which two differ are at most the shingles that only one line has. Pairs
+linked. In buckets that then still hold several components, all pairs of different components are
+compared, however large the bucket is. Sketches rule out most: a sketch has the bits, of 1024, on which a
+line's shingles fall, so the bits in which two differ are at most the shingles that only one line has. In a
+large bucket the lines' sets of shingles go along, and what sketches leave is verified
+where it meets; only links come out of that join. Pairs
 are verified by the Jaccard similarity of all their shingles (told apart by 64-bit hashes), and
 union-find over the verified pairs gives components, of which the first line in document order is kept.
 
@@ -24,20 +21,21 @@ enough have a signature of one kind.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.components import connected_components
 from codeloom.llm.scratch import cut, drop_table, drop_tables, small_or_not
 
-SHINGLE, MINIMA, PERCENT = 8, 12, 80
-BANDS, WIDTHS = 6, (2, 4, 7, 12)  # a bucket's minima at first, and as it is cut further
+SHINGLE, MINIMA, PERCENT = 8, 24, 80
 LONG, FIRST = 160, 16
-AGREE = 6
-SMALL_BUCKET, DRAWS, DEALT = 32, 3, 1024
+SMALL_BUCKET, DEALT = 32, 1024
 SKETCH = 16  # longs of a line's sketch, a power of two
 SMALL_ROWS = 2_000_000  # what may be broadcast, within the bytes that small_or_not allows
 _WORDS = 4  # hashes of a shingle; each gives minima under orders that differ in their first bits
+_ORDERS = MINIMA // _WORDS
+# A band has a minimum of each hash; no two bands share more than one minimum.
+_BANDS = [[_WORDS * ((i + step * w) % _ORDERS) + w for w in range(_WORDS)] for step in (0, 1) for i in range(_ORDERS)]
 _HAS = r"[\p{L}\p{N}]"
 
 
@@ -90,111 +88,57 @@ def signatures(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     return each.groupBy("id", "long").agg(*[F.min(F.col(f"_w{k % _WORDS}").bitwiseXOR(F.lit((k // _WORDS) << 28))).alias(f"m{k}") for k in range(MINIMA)]).drop("long")
 
 
-def bucket_keys(width: int) -> Column:
-    """For each band the hash of its first ``width`` minima (of column m), which go on into the next bands'."""
-    return F.array(*[F.xxhash64(F.lit(k), *[F.get("m", F.lit((2 * k + i) % MINIMA)) for i in range(width)]) for k in range(BANDS)])
-
-
-def agree(a: str, b: str) -> Column:
-    """Whether two columns of minima agree in AGREE places."""
-    same = [(F.get(a, F.lit(k)) == F.get(b, F.lit(k))).cast("int") for k in range(MINIMA)]
-    return sum(same[1:], same[0]) >= AGREE
-
-
 def meetings(signed: DataFrame) -> DataFrame:
-    """id, bucket, leader, size, m: each line in each bucket that it shares, with the bucket's least id and the line's minima; a written table."""
-    minima = signed.select("id", F.array(*[f"m{k}" for k in range(MINIMA)]).alias("m"))
-    rows = minima.select("id", F.explode(bucket_keys(WIDTHS[0])).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("size")).where("leader < _last").select("bucket", "leader", "size")
-    # Minima go along only with the rows that are left.
-    shared = cut(shared, "buckets")
-    inside = cut(rows.join(small_or_not(shared, SMALL_ROWS), "bucket").select("id", "bucket", "leader", "size"), "inside")
-    ids = cut(inside.select("id").distinct(), "ids")
-    own = minima.join(small_or_not(ids, SMALL_ROWS), "id", "left_semi")
-    # A line that is signed both ways stands with both; what agrees in neither is no pair.
-    out = cut(inside.join(own, "id"), "meeting")
-    drop_tables([shared, inside, ids])
-    return out
-
+    """bucket, id, leader: each line in each bucket that it shares, with the bucket's least id; a written table."""
+    keys = F.array(*[F.xxhash64(F.lit(n), *[f"m{k}" for k in band]) for n, band in enumerate(_BANDS)])
+    bucket = Window.partitionBy("bucket")
+    rows = signed.select("id", F.explode(keys).alias("bucket")).select("bucket", "id", F.min("id").over(bucket).alias("leader"), F.max("id").over(bucket).alias("_last"))
+    return cut(rows.where("leader < _last").select("bucket", "id", "leader"), "inside")
 
-def leader_pairs(meeting: DataFrame) -> DataFrame:
-    """a < b: each line with the leaders of its buckets, as far as they agree."""
-    lead = meeting.where("id = leader").select("bucket", F.col("m").alias("_m"))
-    return meeting.where("id != leader").join(lead, "bucket").where(agree("m", "_m")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-
-
-def mixed_pairs(meeting: DataFrame, component: DataFrame, known: DataFrame) -> DataFrame:
-    """a < b: pairs of different components to compare in buckets that hold several, without those in ``known``; a written table."""
-    used: list[DataFrame] = []
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        used.append(cut(df, name))
-        return used[-1]
-
-    # In a bucket of two the leader has met the other line.
-    labelled = meeting.where("size > 2").select("id", "m", "bucket").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
-    labelled = kept(labelled.select("id", "m", "bucket", F.coalesce("component", "id").alias("component")), "labelled")
-    found: DataFrame | None = None
-    for depth, _ in enumerate(WIDTHS):
-        of = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        mixed = kept(of.where("_lo < _hi").select("bucket", "_n"), "mixed")
-        inside = kept(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket"), "inside")
-        few, many = inside.where(F.col("_n") <= SMALL_BUCKET), inside.where(F.col("_n") > SMALL_BUCKET)
-        left, right = (few.select("bucket", F.col("id").alias(x), F.col("component").alias(f"_c{x}"), F.col("m").alias(f"_m{x}")) for x in "ab")
-        pairs = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & agree("_ma", "_mb")).select("a", "b")
-        # In a large bucket one line of each component, chosen by hash, against the one with the least hash of all; and all
-        # lines against the first of these (in the first buckets they have met the leader).
-        row = F.struct("id", "component", "m")
-        drawn = many.groupBy("bucket", "component").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), row.alias("r"))).alias(f"_d{k}") for k in range(DRAWS)])
-        least = drawn.groupBy("bucket").agg(*[F.min(f"_d{k}")["r"].alias(f"_l{k}") for k in range(DRAWS)])
-        tried = drawn.join(least, "bucket").select(F.explode(F.array(*[F.struct(F.col(f"_d{k}.r").alias("r"), F.col(f"_l{k}").alias("l")) for k in range(DRAWS)])).alias("_t")).select("_t.r", "_t.l")
-        if depth:
-            tried = tried.unionByName(many.join(least, "bucket").select(row.alias("r"), F.col("_l0").alias("l")))
-        met = tried.where("r.component != l.component").select("r", "l", F.col("r.m").alias("_ma"), F.col("l.m").alias("_mb")).where(agree("_ma", "_mb"))
-        pairs = pairs.unionByName(met.select(F.least("r.id", "l.id").alias("a"), F.greatest("r.id", "l.id").alias("b")))
-        found = pairs if found is None else found.unionByName(pairs)
-        if depth + 1 == len(WIDTHS) or many.isEmpty():
-            break
-        # A bucket's own band isn't known from its hash, so a large one's lines go on in all bands' larger widths.
-        on = kept(many.select("id", "component", "m").distinct(), "on")
-        labelled = kept(on.select("id", "component", "m", F.explode(bucket_keys(WIDTHS[depth + 1])).alias("bucket")), "labelled")
-    out = cut(found.distinct().join(known, ["a", "b"], "left_anti"), "more")
-    drop_tables(used)
-    return out
 
-
-def large_mixed(meeting: DataFrame, component: DataFrame) -> DataFrame:
-    """bucket, id, component of the lines of each bucket that ``mixed_pairs`` took as large, as far as it still holds several components."""
-    labelled = meeting.where(F.col("size") > SMALL_BUCKET // 2).select("id", "bucket").join(component.select(F.col("node").alias("id"), "component"), "id", "left")
-    labelled = cut(labelled.select("id", "bucket", F.coalesce("component", "id").alias("component")), "labelled")
-    of = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    mixed = cut(of.where((F.col("_n") > SMALL_BUCKET) & (F.col("_lo") < F.col("_hi"))).select("bucket"), "mixed")
-    out = cut(labelled.join(small_or_not(mixed, SMALL_ROWS), "bucket", "left_semi").select("bucket", "id", "component").distinct(), "apart")
-    drop_tables([labelled, mixed])
-    return out
+def mixed(inside: DataFrame, component: DataFrame) -> DataFrame:
+    """bucket, id, component of the lines of each bucket that holds several components; a written table."""
+    labelled = inside.select("bucket", "id").distinct().join(component.select(F.col("node").alias("id"), "component"), "id", "left")
+    labelled = labelled.select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    bucket = Window.partitionBy("bucket")
+    labelled = labelled.withColumn("_lo", F.min("component").over(bucket)).withColumn("_hi", F.max("component").over(bucket))
+    return cut(labelled.where("_lo < _hi").select("bucket", "id", "component"), "labelled")
 
 
-def rest_pairs(apart: DataFrame, lines: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a < b: pairs of lines of ``apart`` (bucket, id, component; without bucket: of one) of one bucket and different components that can be alike, without those in ``known``; a written table.
+def rest_pairs(apart: DataFrame, lines: DataFrame, known: DataFrame, percent: int = PERCENT, own: DataFrame | None = None) -> DataFrame:
+    """a < b: the alike pairs of lines of ``apart`` (bucket, id, component; without bucket: of one) of one bucket and different components; a written table.
 
-    ``lines`` has each line once. All pairs are looked at by their sketches alone, dealt by hash: the lines outside a bucket's largest
-    component with all lines of others. What sketches rule out can't be alike.
+    ``lines`` has each line once, ``own`` their sketches. All pairs are looked at; what sketches rule out can't be alike. Pairs of small
+    buckets are verified once each, without those in ``known``. Those of large ones, dealt by hash, are verified where they
+    meet first: the lines outside a bucket's largest component with all lines of others.
     """
     if "bucket" not in apart.columns:
         apart = apart.withColumn("bucket", F.lit(0))
-    own = cut(sketches(lines), "sketches")
+    used = [] if own is not None else [cut(sketches(lines), "sketches")]
+    own = used[0] if used else own
     of = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n")).groupBy("bucket")
-    of = cut(of.agg(F.ceil(F.sum("_n") / DEALT).cast("int").alias("parts"), F.max(F.struct("_n", "component"))["component"].alias("most")), "sizes")
-    rows = cut(apart.join(small_or_not(of, SMALL_ROWS), "bucket").join(own, "id").select("bucket", "parts", "most", "id", "component", "n", "w"), "dealt")
-    outer = rows.where("component != most").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("w").alias("_wa"))
-    every = rows.select("bucket", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("w").alias("_wb"))
-    can = (
-        (outer["bucket"] == every["bucket"]) & (outer["_p"] == every["_p"]) & (F.col("_ca") != F.col("_cb"))
-        & ((F.col("_a") < F.col("_b")) | (F.col("_cb") == F.col("most"))) & can_be_alike("_na", "_wa", "_nb", "_wb", percent)
-    )
-    found = outer.join(every, can).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
-    out = cut(found.join(known, ["a", "b"], "left_anti"), "rest")
-    drop_tables([own, of, rows])
+    of = cut(of.agg(F.sum("_n").alias("size"), F.max(F.struct("_n", "component"))["component"].alias("most")), "sizes")
+    sized = apart.join(small_or_not(of, SMALL_ROWS), "bucket")
+    different = (F.col("_ca") != F.col("_cb")) & can_be_alike("_na", "_wa", "_nb", "_wb", percent)
+
+    few = sized.where(F.col("size") <= SMALL_BUCKET).join(own, "id")
+    left, right = (few.select("bucket", F.col("id").alias(x), F.col("component").alias(f"_c{x}"), F.col("n").alias(f"_n{x}"), F.col("w").alias(f"_w{x}")) for x in "ab")
+    near = left.join(right, "bucket").where((F.col("a") < F.col("b")) & different).select("a", "b").distinct()
+    near = cut(near.join(known, ["a", "b"], "left_anti"), "near")
+
+    many = cut(sized.where(F.col("size") > SMALL_BUCKET), "large")
+    ids = cut(many.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("all")), "ids")
+    sets = lines.join(small_or_not(ids, SMALL_ROWS), "id").select("id", "all", F.array_distinct(shingle_hashes(F.col("line"))).alias("s"))
+    rows = cut(many.join(own.join(sets, "id"), "id").withColumn("parts", F.ceil(F.col("size") / DEALT).cast("int")), "dealt")
+    outer = rows.where("component != most").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("w").alias("_wa"), F.col("s").alias("_sa"), F.col("all").alias("_alla"))
+    every = rows.select("bucket", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("w").alias("_wb"), F.col("s").alias("_sb"), F.col("all").alias("_allb"))
+    once = (F.col("_a") < F.col("_b")) | (F.col("_cb") == F.col("most"))
+    first = every["bucket"] == F.get(F.array_intersect("_alla", "_allb"), F.lit(0))  # of the large buckets that both are in
+    on = (every["bucket"] == outer["bucket"]) & (every["_p"] == outer["_p"]) & once & different & first & sets_alike("_sa", "_sb", percent)
+    met = every.join(outer, on).select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+
+    out = cut(alike(near, lines, percent).unionByName(met.distinct()), "links")
+    drop_tables([*used, of, near, many, ids, rows])
     return out
 
 
@@ -219,53 +163,54 @@ def lines_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The ``pairs`` (a written table) whose lines' shingle sets have a Jaccard similarity of percent / 100 or more; a written table.
-
-    Sketches alone rule many pairs out. Lines are exchanged and made sets after that, as sets are several times as large.
-    """
+    """The ``pairs`` (a written table) whose lines' shingle sets have a Jaccard similarity of percent / 100 or more; a written table."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     met = lines_of(ids, lines)
-    drop_table(ids)
     own = cut(sketches(met), "sketches")
+    out = verified_by(pairs, met, own, percent)
+    drop_tables([ids, met, own])
+    return out
+
+
+def verified_by(pairs: DataFrame, met: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """As ``verified``, with the lines (each once) and their sketches at hand. Sketches alone rule many pairs out; lines are exchanged and made sets after that."""
     near = pairs.join(own.toDF("a", "_na", "_wa"), "a").join(own.toDF("b", "_nb", "_wb"), "b").where(can_be_alike("_na", "_wa", "_nb", "_wb", percent))
     near = cut(near.select("a", "b"), "near")
     out = cut(alike(near, met, percent), "links")
-    drop_tables([met, own, near])
+    drop_table(near)
     return out
 
 
+def sets_alike(a: str, b: str, percent: int) -> Column:
+    """Whether two columns of sets have a Jaccard similarity of percent / 100 or more."""
+    return (100 + percent) * F.size(F.array_intersect(a, b)) >= percent * (F.size(a) + F.size(b))
+
+
 def alike(pairs: DataFrame, met: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The ``pairs`` whose lines (of ``met``, each once) are alike, by all their shingles."""
     both = pairs.join(met.select(F.col("id").alias("a"), F.col("line").alias("_la")), "a").join(met.select(F.col("id").alias("b"), F.col("line").alias("_lb")), "b")
     both = both.select("a", "b", F.array_distinct(shingle_hashes(F.col("_la"))).alias("_sa"), F.array_distinct(shingle_hashes(F.col("_lb"))).alias("_sb"))
-    n, common = F.size("_sa") + F.size("_sb"), F.size(F.array_intersect("_sa", "_sb"))
-    return both.where(100 * common >= percent * (n - common)).select("a", "b")
+    return both.where(sets_alike("_sa", "_sb", percent)).select("a", "b")
 
 
 def duplicate_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, fp, line_no of every line that isn't the first, by key and place, of its component."""
     lines = cut(text_lines(docs, key, text), "lines")
     places = lines.select("key", "fp", "line_no", "id")
-    signed = cut(signatures(lines), "signatures")
-    meeting = meetings(signed)
-    drop_table(signed)
-    pairs = cut(leader_pairs(meeting), "pairs")
-    links = verified(pairs, lines)
+    inside = meetings(signatures(lines))
+    ids = cut(inside.select("id").distinct(), "ids")
+    met = lines_of(ids, lines)
+    own = cut(sketches(met), "sketches")
+    pairs = cut(inside.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = verified_by(pairs, met, own)
     component = connected_components(links)
-    more = mixed_pairs(meeting, component, pairs)
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, lines))
-        component = connected_components(links)
-    apart = large_mixed(meeting, component)
-    drop_table(meeting)
+    apart = mixed(inside, component)
+    drop_tables([inside, ids])
     if not apart.isEmpty():
-        ids = cut(apart.select("id").distinct(), "ids")
-        own = lines_of(ids, lines)
-        rest = rest_pairs(apart, own, pairs.unionByName(more))
+        rest = rest_pairs(apart, met, pairs, own=own)
         if not rest.isEmpty():
-            component = connected_components(links.unionByName(cut(alike(rest, own), "links")))
-        drop_tables([ids, own, rest])
-    drop_tables([pairs, more, apart])
+            component = connected_components(links.unionByName(rest))
+    drop_tables([met, own, pairs, apart])
     # Lines that stand once and have no like line need no decision.
     counted = places.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
     groups = counted.join(component.withColumnRenamed("node", "id"), "id", "left").where("_n > 1 or component is not null")

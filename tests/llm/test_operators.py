@@ -659,3 +659,28 @@ def test_line_dedup_leaves_no_table_but_small_ones(spark, monkeypatch):
     dedup_lines(docs(spark, [prose(rng, 30) for _ in range(20)] * 2)).collect()
     there = {name for folder, (name, _) in left.items() if os.path.exists(folder.removeprefix("file://").removeprefix("file:"))}
     assert not there & {"lines", "signatures", "meeting", "inside", "labelled", "met-lines", "sketches", "dealt"}
+
+
+def test_line_dedup_verifies_pairs_of_large_buckets_where_they_meet(spark):
+    rng = random.Random(33)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)]
+    lines = []
+    for _ in range(120):  # copies of similarities around 0.8
+        line = list(base)
+        for at in rng.sample(range(0, 190, 10), 2):
+            line[at : at + 3] = rng.choices("0123456789", k=3)
+        lines.append("".join(line))
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    like = sorted((i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    apart = df.select(F.explode(F.array(F.lit(5), F.lit(7))).alias("bucket"), "id", df.id.alias("component"))
+    got = line_dedup.rest_pairs(apart, df, spark.createDataFrame([], "a long, b long"))
+    assert sorted((r.a, r.b) for r in got.collect()) == like and 0 < len(like) < 120 * 119 / 2
+
+
+def test_line_dedup_lets_lines_of_common_words_rarely_meet(spark):
+    rng = random.Random(34)
+    words = ["tion", "the", "and", "ing", "ere", "of", "in", "re", "ble", "that"]
+    lines = [" ".join("".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(25)) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(lines)], "id long, line string, n int")
+    assert line_dedup.meetings(line_dedup.signatures(df)).select("id").distinct().count() < len(lines) / 5
