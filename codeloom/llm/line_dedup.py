@@ -9,7 +9,7 @@ Every line is compared with the leader (least id) of each of its buckets, and wh
 linked. In buckets that then still hold several components, all pairs of different components are
 compared, however large the bucket is. Sketches rule out most: a sketch has the bits, of 1024, on which a
 line's shingles fall, so the bits in which two differ are at most the shingles that only one line has. In a
-large bucket the lines' sets of shingles go along, and what sketches leave is verified
+large bucket the lines go along, and what sketches leave is verified
 where it meets; only links come out of that join. Pairs
 are verified by the Jaccard similarity of all their shingles (told apart by 64-bit hashes), and
 union-find over the verified pairs gives components, of which the first line in document order is kept.
@@ -128,10 +128,13 @@ def rest_pairs(apart: DataFrame, lines: DataFrame, known: DataFrame, percent: in
 
     many = cut(sized.where(F.col("size") > SMALL_BUCKET), "large")
     ids = cut(many.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("all")), "ids")
-    sets = lines.join(small_or_not(ids, SMALL_ROWS), "id").select("id", "all", F.array_distinct(shingle_hashes(F.col("line"))).alias("s"))
-    rows = cut(many.join(own.join(sets, "id"), "id").withColumn("parts", F.ceil(F.col("size") / DEALT).cast("int")), "dealt")
-    outer = rows.where("component != most").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("w").alias("_wa"), F.col("s").alias("_sa"), F.col("all").alias("_alla"))
-    every = rows.select("bucket", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("w").alias("_wb"), F.col("s").alias("_sb"), F.col("all").alias("_allb"))
+    texts = lines.join(small_or_not(ids, SMALL_ROWS), "id").select("id", "all", "line")
+    rows = cut(many.join(own.join(texts, "id"), "id").withColumn("parts", F.ceil(F.col("size") / DEALT).cast("int")), "dealt")
+    outer = rows.where("component != most").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("_p"), F.col("id").alias("_a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("w").alias("_wa"), F.col("line").alias("_la"), F.col("all").alias("_alla"))
+    every = rows.select("bucket", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_p"), F.col("id").alias("_b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("w").alias("_wb"), F.col("line").alias("_lb"), F.col("all").alias("_allb"))
+    # Lines are exchanged, and made sets after that, as sets are several times as large.
+    outer = outer.repartition("bucket", "_p").withColumn("_sa", F.array_distinct(shingle_hashes(F.col("_la")))).drop("_la")
+    every = every.repartition("bucket", "_p").withColumn("_sb", F.array_distinct(shingle_hashes(F.col("_lb")))).drop("_lb")
     once = (F.col("_a") < F.col("_b")) | (F.col("_cb") == F.col("most"))
     first = every["bucket"] == F.get(F.array_intersect("_alla", "_allb"), F.lit(0))  # of the large buckets that both are in
     on = (every["bucket"] == outer["bucket"]) & (every["_p"] == outer["_p"]) & once & different & first & sets_alike("_sa", "_sb", percent)
